@@ -67,7 +67,7 @@ def _centroids(x: np.ndarray, count: int, rows_each: float, limit: float, seed:
 def nearest_neighbours(
     df: DataFrame, id_col: str, vec_col: str, group_cols: list[str], *, tag_col: str | None = None, k: int = 5,
     min_cosine: float | None = None, dim: int = 48, degree: int = 32, beam: int = 40, search_beam: int = 64,
-    shard_rows: int = 24_000, probes: int = 3, sample_per_shard: int = 512, max_shards: int = 20_000,
+    shard_rows: int = 64_000, probes: int = 3, sample_per_shard: int = 512, max_shards: int = 20_000,
 ) -> DataFrame:
     """(grp, id, neighbour, neighbour_tag, cosine, rank): at most k neighbours of each usable vector.
 
@@ -198,6 +198,27 @@ def nearest_neighbours(
         vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(-1, dim)
         ids, home = t["id"].to_numpy(), t["home"].to_numpy()
         tags, names = np.array(t["tag"].to_pylist(), dtype=object), np.array(t["grp"].to_pylist(), dtype=object)
+
+        def pick(name, q, r, to):
+            """The k best of the candidates `to` of queries q[r], by exact cosine, then id."""
+            real = (to >= 0) & (ids[np.maximum(to, 0)] != ids[q[r]])
+            r, to = r[real], to[real]
+            a, b = vec[q[r]].astype(np.float64), vec[to].astype(np.float64)
+            cos = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+            if min_cosine is not None:
+                ok = cos >= min_cosine
+                r, to, cos = r[ok], to[ok], cos[ok]
+            by = np.lexsort((ids[to], -cos, r))
+            r, to, cos = r[by], to[by], cos[by]
+            if len(r):
+                rank = np.arange(len(r)) - np.searchsorted(r, r)
+                best = rank < k
+                r, to, cos = r[best], to[best], cos[best]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(r), pa.string()), pa.array(ids[q[r]]), pa.array(ids[to]),
+                     pa.array(tags[to], pa.string()), pa.array(cos)],
+                    names=["grp", "id", "neighbour", "neighbour_tag", "cosine"])
+
         for name in sorted(set(names.tolist())):
             mine = np.flatnonzero(names == name)
             inside = mine[home[mine]]
@@ -215,10 +236,30 @@ def nearest_neighbours(
             member = np.full((len(points) + 1, wide), -1, np.int64)
             fits = rank < wide
             member[point_of[fits], rank[fits]] = inside[fits]
-            graph = ProximityGraph(points, degree=degree, beam=beam)
+            floor = None if min_cosine is None else min_cosine - 1e-5  # float32 sums; the exact test follows
+            graph = ProximityGraph(points, degree=degree, beam=beam, min_sim=floor)
             outside = mine[~home[mine]]
             outside = outside[np.unique(ids[outside], return_index=True)[1]] if len(outside) else outside
-            for block, own in ((inside, point_of), (outside, None)):
+            todo = [(outside, None)]
+            if floor is None:
+                todo.append((inside, point_of))
+            else:  # every insertion was a search: what the insertions met is the answer
+                a, b = graph.pairs()
+                a, b = np.concatenate([a, np.arange(len(points))]), np.concatenate([b, np.arange(len(points))])
+                by = np.argsort(a, kind="stable")
+                a, b = a[by], b[by]
+                count = np.searchsorted(a, np.arange(len(points)), "right") - np.searchsorted(a, np.arange(len(points)))
+                some = np.flatnonzero((count[point_of] > 1) | (np.bincount(point_of)[point_of] > 1))
+                for lo in range(0, len(some), 4096):
+                    q = inside[some[lo: lo + 4096]]
+                    p = point_of[some[lo: lo + 4096]]
+                    first = np.searchsorted(a, p)
+                    r = np.repeat(np.arange(len(q)), count[p])
+                    to_point = b[np.repeat(first - np.r_[0, np.cumsum(count[p])[:-1]], count[p]) + np.arange(len(r))]
+                    cand = member[to_point]
+                    r = np.repeat(r, cand.shape[1])
+                    yield from pick(name, q, r, cand.ravel())
+            for block, own in todo:
                 for lo in range(0, len(block), 4096):
                     q = block[lo: lo + 4096]
                     o = None if own is None else own[lo: lo + 4096].astype(np.int32)
@@ -226,22 +267,7 @@ def nearest_neighbours(
                     if o is not None:
                         near = np.concatenate([o[:, None], near], axis=1)
                     cand = member[near].reshape(len(q), -1)
-                    bad = (cand < 0) | (ids[np.maximum(cand, 0)] == ids[q][:, None])
-                    first = np.argsort(bad, axis=1, kind="stable")[:, :k]
-                    cand, bad = np.take_along_axis(cand, first, 1), np.take_along_axis(bad, first, 1)
-                    r, c = np.nonzero(~bad)
-                    to = cand[r, c]
-                    a, b = vec[q[r]].astype(np.float64), vec[to].astype(np.float64)
-                    cos = np.einsum("ij,ij->i", a, b) / np.sqrt(
-                        np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
-                    if min_cosine is not None:
-                        ok = cos >= min_cosine
-                        r, to, cos = r[ok], to[ok], cos[ok]
-                    if len(r):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name] * len(r), pa.string()), pa.array(ids[q[r]]), pa.array(ids[to]),
-                             pa.array(tags[to], pa.string()), pa.array(cos)],
-                            names=["grp", "id", "neighbour", "neighbour_tag", "cosine"])
+                    yield from pick(name, q, np.repeat(np.arange(len(q)), cand.shape[1]), cand.ravel())
 
     found = base.mapInArrow(route, _ROUTED).repartitionById(n_parts, F.col("shard")).mapInArrow(search, _FOUND)
     best = found.groupBy("grp", "id", "neighbour").agg(

@@ -13,7 +13,8 @@ import numpy as np
 
 _ID_BITS = 31
 #: Rows worked on at once: the gathered vectors of one step then stay in a core's cache.
-CHUNK = 64
+CHUNK = 32
+_TABLE = 2048
 
 
 def _pack(sims: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -33,12 +34,16 @@ class ProximityGraph:
     is pruned again.  beam: points kept during a search while building.  relax:
     a candidate c of x is dropped when a kept p has relax * d(p, c) <= d(x, c),
     with d = 1 - cosine.
+
+    With min_sim, every insertion also reports the pairs (later point, earlier point) of at
+    least that similarity which its search met; pairs inside one batch are compared directly.
     """
 
     def __init__(self, vectors: np.ndarray, degree: int = 16, beam: int = 24, relax: float = 1.2,
-                 pivots: int = 128, batch: int = 2048, seed: int = 7):
+                 pivots: int = 256, batch: int = 512, seed: int = 7, min_sim: float | None = None):
         n, dim = vectors.shape
         self.n, self.degree, self.beam, self.relax, self.batch = n, degree, beam, relax, batch
+        self.min_sim, self.met = min_sim, []
         self.width = degree + degree // 2
         self.x = np.zeros((n + 1, dim), np.float32)
         self.x[:n] = vectors
@@ -47,19 +52,49 @@ class ProximityGraph:
         rng = np.random.default_rng(seed)
         order = rng.permutation(n).astype(np.int32)
         self.entry = order[: min(n, pivots)]
-        self._mark = np.zeros((0, 0), np.uint8)
         self._build(order)
 
     def _build(self, order: np.ndarray) -> None:
         first = order[: min(self.n, 4 * self.beam)]
+        self._report(first)
         self._link(first, np.broadcast_to(first, (len(first), len(first))))
         done = len(first)
         while done < self.n:
             block = order[done: done + min(done, self.batch)]
-            found = self.search(self.x[block], self.beam, block=None)[1]
+            sims, found = self.search(self.x[block], self.beam)
+            if self.min_sim is not None:
+                r, c = np.nonzero(sims >= self.min_sim)
+                self.met.append((block[r], found[r, c]))
+                self._report(block)
             self._link(block, found)
             done += len(block)
 
+    def _report(self, block: np.ndarray) -> None:
+        if self.min_sim is not None:
+            r, c = np.nonzero(np.triu(self.x[block] @ self.x[block].T >= self.min_sim, 1))
+            self.met.append((block[r], block[c]))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The reported pairs, both ways round, without repeats.
+
+        A point with so many partners that a beam may not have held them all is looked up
+        again in the finished graph, with a beam that is doubled until it ends below min_sim.
+        """
+        a = np.concatenate([x for x, _ in self.met]) if self.met else np.zeros(0, np.int32)
+        b = np.concatenate([y for _, y in self.met]) if self.met else np.zeros(0, np.int32)
+        crowded = np.flatnonzero(np.bincount(np.concatenate([a, b]), minlength=self.n) * 2 >= self.beam)
+        wide = 2 * self.beam
+        more = [(a, b)]
+        while len(crowded):
+            sims, ids = self.search(self.x[crowded], wide, block=crowded.astype(np.int32))
+            r, c = np.nonzero(sims >= self.min_sim)
+            more.append((crowded[r], ids[r, c]))
+            crowded = crowded[sims[:, -1] >= self.min_sim] if wide < min(self.n, 8 * self.beam) else crowded[:0]
+            wide *= 2
+        a, b = (np.concatenate([x[i] for x in more]).astype(np.int64) for i in (0, 1))
+        both = np.unique(np.concatenate([a * self.n + b, b * self.n + a]))
+        return both // self.n, both % self.n
+
     def _prune(self, owners: np.ndarray, cand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The kept candidates of each owner, nearest first, and how many there are."""
         n, b = self.n, len(owners)
@@ -132,7 +167,7 @@ class ProximityGraph:
                     self.fill[t[p]] = size
 
     def search(self, queries: np.ndarray, beam: int, block: np.ndarray | None = None,
-               expand: int = 8) -> tuple[np.ndarray, np.ndarray]:
+               expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and ids of the beam of each query, best first; id n fills empty places.
 
         block: ids of the queries where they are points of the graph; their edges then
@@ -151,65 +186,55 @@ class ProximityGraph:
 
     def _search(self, q, beam, own, expand):
         n, b = self.n, len(q)
-        mark = np.zeros((b, n + 1), np.uint8)
-        mark[:, n] = 255
+        # which points a query has met: a small direct-mapped table, so that it stays in cache
+        met = np.full((b, _TABLE), -1, np.int32)
+        turn = np.zeros((b, _TABLE), np.uint16)
         rows = np.arange(b)
-        if own is not None:
-            mark[rows, own] = 255
         entry = q @ self.x[self.entry].T
         take = min(len(self.entry), max(4, beam // 4))
         at = np.argpartition(-entry, take - 1, axis=1)[:, :take]
         cand = self.entry[at]
         if own is not None:
             cand = np.concatenate([cand, self.edges[own]], axis=1)
-        keys = self._score(q, rows, cand, mark)
-        keys = np.sort(keys, axis=1)
+        keys = np.sort(self._score(q, rows, cand, met, turn, own), axis=1)
         if keys.shape[1] < beam:
             keys = np.concatenate([np.full((b, beam - keys.shape[1]), 1, np.int64), keys], axis=1)
         keys = np.ascontiguousarray(keys[:, -beam:])
         live = rows
         while len(live):
-            part = keys if len(live) == b else keys[live]
+            whole = len(live) == b
+            part = keys if whole else keys[live]
             open_ = (part & 1) == 0
-            # the last (best) open places of each row
-            pick = np.argsort(open_, axis=1, kind="stable")[:, -expand:]
+            pick = np.argsort(open_, axis=1, kind="stable")[:, -expand:]  # the last open places are the best
             r = np.arange(len(part))[:, None]
-            nodes = np.where(np.take_along_axis(open_, pick, 1), _ids(np.take_along_axis(part, pick, 1)), n)
+            nodes = np.where(open_[r, pick], _ids(part[r, pick]), n)
             part[r, pick] |= 1
             cand = self.edges[nodes].reshape(len(part), -1)
-            new = self._score(q[live] if len(live) != b else q, live, cand, mark)
+            new = self._score(q if whole else q[live], live, cand, met, turn, None if own is None else own[live])
             part = np.sort(np.concatenate([part, new], axis=1), axis=1)[:, -beam:]
+            # a point that the table forgot and that was met again
+            twice = (part[:, 1:] | 1) == (part[:, :-1] | 1)
+            if twice.any():
+                part[:, :-1][twice & (part[:, 1:] > 1)] = 1
             keys[live] = part
             live = live[((part & 1) == 0).any(axis=1)]
-        keys = keys[:, ::-1]
+        keys = np.sort(keys, axis=1)[:, ::-1]
         none = keys < (1 << 32)
         ids = np.where(none, n, _ids(keys)).astype(np.int32)
-        sims = ((keys >> 32).astype(np.int32).view(np.float32) - np.float32(2.0))
+        sims = (keys >> 32).astype(np.int32).view(np.float32) - np.float32(2.0)
         sims[none] = -2
         return sims, ids
 
-    def _score(self, q, rows, cand, mark):
-        """Packed keys of candidates seen for the first time; 1 (a closed, empty place) for the others."""
+    def _score(self, q, rows, cand, met, turn, own):
+        """Packed keys of candidates met for the first time; 1 (a closed, empty place) for the others."""
         r = rows[:, None]
-        seen = mark[r, cand] != 0
-        order = (np.arange(cand.shape[1]) % 254 + 1).astype(np.uint8)[None, :]
-        if cand.shape[1] > 254:  # marks repeat: look for repeats by sorting instead
-            by = np.argsort(cand, axis=1, kind="stable")
-            s = np.take_along_axis(cand, by, 1)
-            twice = np.zeros_like(seen)
-            np.put_along_axis(twice, by[:, 1:], s[:, 1:] == s[:, :-1], 1)
-            fresh = ~seen & ~twice
-            mark[r, cand] = 255
-        else:
-            mark[r, cand] = np.where(seen, np.uint8(255), order)
-            fresh = ~seen & (mark[r, cand] == order)
-        keys = np.ones(cand.shape, np.int64)
-        a, c = np.nonzero(fresh)
-        if len(a) * 3 < fresh.size:
-            ids = cand[a, c]
-            sims = np.einsum("ij,ij->i", self.x[ids], q[a])
-            keys[a, c] = _pack(sims, ids)
-        else:
-            sims = np.matmul(self.x[cand], q[:, :, None])[:, :, 0]
-            keys = np.where(fresh, _pack(sims, cand), 1)
-        return keys
+        slot = cand & (_TABLE - 1)
+        order = np.arange(cand.shape[1], dtype=np.uint16)[None, :]
+        fresh = (met[r, slot] != cand) & (cand != self.n)
+        if own is not None:
+            fresh &= cand != own[:, None]
+        met[r, slot] = cand
+        turn[r, slot] = order
+        fresh &= (turn[r, slot] == order) | (met[r, slot] != cand)
+        sims = np.matmul(self.x[cand], q[:, :, None])[:, :, 0]
+        return np.where(fresh, _pack(sims, cand), 1)
