@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lookalikes import canonical_text, same_reading_pairs
 from .neighbours import nearest_neighbours
+from .personal_info import find_personal_info, redact_personal_info
+from .shared_spans import shared_share, span_pairs
+from .splitting import split_oversized
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +34,74 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("neighbour_tag").alias("neighbour_row_id"), "cosine")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that had to be split."""
+    return p2_pieces(spark, sf_dir).select("row_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered pieces of at most 2,000 characters of the texts above that length."""
+    return split_oversized(_table(spark, sf_dir, "corpus_rows"), "row_id", "text").select(
+        F.col("id").alias("row_id"), "text_hash", "piece_no", "n_pieces", "start_char", "end_char", "piece")
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packet = _table(spark, sf_dir, "eval_packet").select(F.col("packet_row_id").alias("id"), F.col("prompt").alias("text"))
+    return packet.unionByName(_table(spark, sf_dir, "corpus_rows").select(F.col("row_id").alias("id"), "text"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of ids whose texts differ in characters and read the same."""
+    return same_reading_pairs(_readings(spark, sf_dir), "id", "text")
+
+
+def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt and text in its consistent form."""
+    return canonical_text(_readings(spark, sf_dir).distinct(), "text").select("id", "canonical_text")
+
+
+def _span_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tri = _table(spark, sf_dir, "triangulation_rows").select(F.col("packet_row_id").alias("id"), F.col("source_text").alias("text"))
+    return _table(spark, sf_dir, "corpus_rows").select(F.col("row_id").alias("id"), "text").unionByName(tri)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records with a common span of at least 100 characters."""
+    return span_pairs(_span_records(spark, sf_dir), "id", "text", 100)
+
+
+def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each record the share of its characters that is also found elsewhere."""
+    return shared_share(_span_records(spark, sf_dir), "id", "text", 100)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind and place of each piece of personal information in documents."""
+    found = find_personal_info(
+        _table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "known_names"))
+    return found.select(F.col("id").alias("doc_id"), "kind", "start_char").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of documents with placeholders in place of personal information."""
+    return redact_personal_info(
+        _table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "known_names")
+    ).select(F.col("id").alias("doc_id"), "text", "n_found")
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_neighbours": p3_neighbours}
+    return {q.__name__: q for q in (
+        p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_canonical, p5_found, p5_share, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "p2_found": "SELECT DISTINCT row_id FROM corpus_rows WHERE length(text) > 2000",
+        # one row per record and spans of 100 characters, counted by SQL itself
+        "p5_found": """
+            WITH r AS (SELECT DISTINCT row_id AS id, text FROM corpus_rows WHERE length(text) >= 100
+                       UNION SELECT DISTINCT packet_row_id, source_text FROM triangulation_rows WHERE length(source_text) >= 100),
+            w AS (SELECT DISTINCT id, md5(substring(text, CAST(i AS INTEGER), 100)) AS h
+                  FROM (SELECT id, text, unnest(range(1, length(text) - 98)) AS i FROM r))
+            SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.h = b.h AND a.id < b.id""",
+    }
