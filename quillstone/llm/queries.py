@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lookalikes import canonical_text, same_reading_pairs
+from .mixing import mix, mix_report
 from .neighbours import nearest_neighbours
+from .packing import bucket_batches, pack
 from .personal_info import find_personal_info, redact_personal_info
 from .shared_spans import shared_share, span_pairs
 from .splitting import split_oversized
+from .token_budget import canonical_source, estimate_tokens, token_totals
+from .tokens import materialise, token_sizes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +40,79 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("neighbour_tag").alias("neighbour_row_id"), "cosine")
 
 
+def _budget_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "corpus_rows").select(
+        F.lit("corpus_rows").alias("record_set"), F.col("row_id").alias("record_id"), "text", "source", "language",
+        F.col("task_family").alias("domain"), F.col("loaded_at").alias("delivered"))
+    return rows.unionByName(_table(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("record_set"), F.col("doc_id").cast("string").alias("record_id"), "text", "source",
+        F.col("lang").alias("language"), "domain", F.col("loaded_at").alias("delivered")))
+
+
+def p1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimated token count of every record."""
+    return estimate_tokens(_budget_records(spark, sf_dir), _table(spark, sf_dir, "token_vocab"))
+
+
+def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and domain."""
+    return token_totals(p1_tokens(spark, sf_dir))
+
+
+def p1_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates against the true counts of token_counts, which the fit does not use."""
+    true = _table(spark, sf_dir, "token_counts").select("record_set", "record_id", F.col("n_tokens").alias("true_tokens")).distinct()
+    both = p1_tokens(spark, sf_dir).join(true, ["record_set", "record_id"])
+    return both.groupBy("record_set", "language").agg(
+        F.count(F.lit(1)).alias("n_records"), F.sum("true_tokens").alias("true_tokens"), F.sum("n_tokens").alias("n_tokens"),
+        (F.sum("n_tokens") / F.sum("true_tokens") - 1).alias("total_error"),
+        F.avg(F.abs(F.col("n_tokens") - F.col("true_tokens")) / F.greatest("true_tokens", F.lit(1))).alias("mean_relative_error"))
+
+
+def _document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", canonical_source(F.col("source")).alias("source"))
+    return materialise(token_sizes(docs, "doc_id", "text", ["source"]))
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> list:
+    return sorted(_table(spark, sf_dir, "capacities").select("container", "capacity_tokens").distinct().collect(), key=lambda r: r[1])
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document (piece) in containers of each size."""
+    sizes = _document_sizes(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [
+        pack(sizes, r.capacity_tokens).select(
+            F.lit(r.container).alias("container"), F.lit(r.capacity_tokens).alias("capacity_tokens"), "container_id",
+            F.col("id").alias("doc_id"), "piece_no", "n_tokens") for r in _capacities(spark, sf_dir)])
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each size are, packed by best fit and by length buckets."""
+    sizes = _document_sizes(spark, sf_dir)
+    out = []
+    for r in _capacities(spark, sf_dir):
+        best = pack(sizes, r.capacity_tokens).groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
+        batch = bucket_batches(sizes, r.capacity_tokens).groupBy("bucket", "batch_no").agg(F.sum("n_tokens").alias("t"))
+        for how, filled in (("best_fit", best), ("length_buckets", batch)):
+            out.append(filled.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest")).select(
+                F.lit(r.container).alias("container"), F.lit(r.capacity_tokens).alias("capacity_tokens"), F.lit(how).alias("how"),
+                "n_containers", "n_tokens", "fullest",
+                (1 - F.col("n_tokens") / (F.col("n_containers") * r.capacity_tokens)).alias("unused_share")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix in order of their virtual finish time."""
+    return mix(_document_sizes(spark, sf_dir), _table(spark, sf_dir, "mix_targets")).select(
+        "source", F.col("id").alias("doc_id"), "repeat_no", "n_tokens", "finish")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source reached."""
+    return mix_report(_document_sizes(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that had to be split."""
     return p2_pieces(spark, sf_dir).select("row_id").distinct()
@@ -91,7 +170,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {q.__name__: q for q in (
-        p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_canonical, p5_found, p5_share, p8_found, p8_redacted)}
+        p1_totals, p1_tokens, p1_accuracy, p6_containers, p6_fill, p7_mix, p7_shares, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_canonical, p5_found, p5_share, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict:
