@@ -170,7 +170,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {q.__name__: q for q in (
-        p1_totals, p1_tokens, p1_accuracy, p6_containers, p6_fill, p7_mix, p7_shares, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_canonical, p5_found, p5_share, p8_found, p8_redacted)}
+        p1_tokens, p1_totals, p1_accuracy, p6_containers, p6_fill, p7_mix, p7_shares, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_canonical, p5_found, p5_share, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict:
