@@ -1,9 +1,12 @@
 """The registered queries of the core and their SQL."""
 
+from . import geometry  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
