@@ -6,9 +6,10 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        name = f.__name__.rstrip("_")  # a trailing underscore keeps clear of an operator's name
+        QUERIES[name] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name] = sql
         return f
 
     return add
