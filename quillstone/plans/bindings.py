@@ -100,6 +100,6 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOGITS = STATES + ", " + UNEMBED + """, probes AS (SELECT * FROM states WHERE vec_id >= 100),
-    logits AS (SELECT p.vec_id, p.level, p.model_slug, p.r, u.id AS token_id, u.class, list_dot_product(p.h, u.w) AS logit FROM probes p, unembed u),
+    logits AS (SELECT p.vec_id, p.level, p.model_slug, p.r, p.i, u.id AS token_id, u.class, list_dot_product(p.h, u.w) AS logit FROM probes p, unembed u),
     probs AS (SELECT *, exp(logit - max(logit) OVER v) / sum(exp(logit - (SELECT max(logit) FROM logits))) OVER v * exp(max(logit) OVER v - (SELECT max(logit) FROM logits)) AS prob
               FROM logits WINDOW v AS (PARTITION BY vec_id))"""

@@ -1,6 +1,6 @@
 """The registered queries of the core and their SQL."""
 
-from . import corpus, features, geometry, texts, vocabulary  # noqa: F401
+from . import corpus, features, geometry, interventions, texts, vocabulary  # noqa: F401
 from .registry import QUERIES, SQL
 
 
