@@ -46,5 +46,5 @@ def majority_script(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, script): most frequent script of a text's characters, OTHER only where alone; ties by label."""
     per = char_scripts(df, key, text).groupBy(key, "script").agg(F.sum("n").alias("n"))
     order = Window.partitionBy(key).orderBy((F.col("script") == "OTHER"), F.col("n").desc(), "script")
-    best = per.withColumn("k", F.row_number().over(order)).where("k = 1").select(key, "script")
+    best = per.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(key, "script")
     return df.select(key).distinct().join(best, key, "left").select(key, F.coalesce("script", F.lit("OTHER")).alias("script"))

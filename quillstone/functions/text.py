@@ -53,18 +53,18 @@ def char_f_scores(pairs: DataFrame, key: str, prediction: str, reference: str, m
     n-grams of all orders are counted together; a pair's grams meet by (key, gram) only, so
     the work is the total length of the pairs times max_n.
     """
-    both = pairs.select(key, squashed(F.coalesce(prediction, F.lit(""))).alias("p"), squashed(F.coalesce(reference, F.lit(""))).alias("r"))
-    sides = both.where("p != '' and r != ''").select(key, F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("p").alias("t")), F.struct(F.lit(1).alias("side"), F.col("r").alias("t")))).alias("s")).select(key, "s.*")
-    orders = sides.select(key, "side", "t", F.length("t").alias("n_chars"), F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n")).where("n_chars >= n")
-    grams = orders.select(key, "side", "n", F.explode(F.transform(
+    both = pairs.select(F.col(key).alias("_key"), squashed(F.coalesce(prediction, F.lit(""))).alias("p"), squashed(F.coalesce(reference, F.lit(""))).alias("r"))
+    sides = both.where("p != '' and r != ''").select("_key", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("p").alias("t")), F.struct(F.lit(1).alias("side"), F.col("r").alias("t")))).alias("s")).select("_key", "s.*")
+    orders = sides.select("_key", "side", "t", F.length("t").alias("n_chars"), F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n")).where("n_chars >= n")
+    grams = orders.select("_key", "side", "n", F.explode(F.transform(
         F.sequence(F.lit(1), F.col("n_chars") - F.col("n") + 1), lambda i: F.col("t").substr(i, F.col("n")))).alias("gram"))
-    counts = grams.groupBy(key, "n", "gram").agg(
+    counts = grams.groupBy("_key", "n", "gram").agg(
         F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    per = counts.groupBy(key, "n").agg(
+    per = counts.groupBy("_key", "n").agg(
         F.sum(F.least("a", "b")).alias("hit"), F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 0 and b > 0")
-    pr = per.groupBy(key).agg(F.avg(F.col("hit") / F.col("a")).alias("p"), F.avg(F.col("hit") / F.col("b")).alias("r"))
+    pr = per.groupBy("_key").agg(F.avg(F.col("hit") / F.col("a")).alias("p"), F.avg(F.col("hit") / F.col("b")).alias("r"))
     b2 = beta * beta
     score = F.when((F.col("p") == 0) & (F.col("r") == 0), F.lit(0.0)).otherwise(
         (1 + b2) * F.col("p") * F.col("r") / (b2 * F.col("p") + F.col("r")))
-    return pairs.select(key).distinct().join(pr, key, "left").select(key, F.coalesce(score, F.lit(0.0)).alias("chrf"))
+    return pairs.select(F.col(key).alias("_key")).distinct().join(pr, "_key", "left").select(F.col("_key").alias(key), F.coalesce(score, F.lit(0.0)).alias("chrf"))

@@ -38,11 +38,11 @@ def dense_index(df: DataFrame, group: list[str], order: list[Column], slice_: Co
 def minibatches(df: DataFrame, key: str, batch: int, epoch: int = 0, seed: int = 0, parts: int = 64) -> DataFrame:
     """(key, batch): a permutation by an integer mix, floor-divided; the remainder is dropped, one batch stays at least."""
     h = mixed(F.pmod(F.col(key) + F.lit(seed * 7919 + epoch * 104729), F.lit(2147483648)))
-    rows = dense_index(df.select(key).distinct().withColumn("h", h), [], [F.col("h"), F.col(key)],
-                       F.floor(F.col("h") / F.lit(2147483648 // parts)).cast("int"))
-    n = df.select(key).distinct().agg(F.count(F.lit(1)).alias("total"))
-    return rows.crossJoin(F.broadcast(n)).withColumn("batch", F.floor(F.col("idx") / batch)).where(
-        F.col("batch") < F.greatest(F.lit(1), F.floor(F.col("total") / batch))).select(key, F.col("batch").cast("bigint").alias("batch"))
+    rows = dense_index(df.select(key).distinct().withColumn("_h", h), [], [F.col("_h"), F.col(key)],
+                       F.floor(F.col("_h") / F.lit(2147483648 // parts)).cast("int"), "_idx")
+    n = df.select(key).distinct().agg(F.count(F.lit(1)).alias("_total"))
+    return rows.crossJoin(F.broadcast(n)).withColumn("batch", F.floor(F.col("_idx") / batch)).where(
+        F.col("batch") < F.greatest(F.lit(1), F.floor(F.col("_total") / batch))).select(key, F.col("batch").cast("bigint").alias("batch"))
 
 
 def shard_assignment(df: DataFrame, group: str, order: str, size: str, target: int) -> DataFrame:

@@ -43,11 +43,11 @@ _R = "round(mean, 6) + 0.0 AS mean, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0
 
 
 @query(f"""WITH {_DELTA}, s AS (SELECT CAST(level AS BIGINT) AS level, n, {_R} FROM ci)
-    SELECT *, round((hi - lo) / 2, 6) + 0.0 AS halfwidth, level BETWEEN 2 AND 7 AS in_gate_window, level BETWEEN 2 AND 7 AND lo > 0 AS gate_pass FROM s""")
+    SELECT *, round((hi - lo) / 2, 9) + 0.0 AS halfwidth, level BETWEEN 2 AND 7 AS in_gate_window, level BETWEEN 2 AND 7 AND lo > 0 AS gate_pass FROM s""")
 def paired_delta_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean same-minus-other contrast per level with its bootstrap interval and the gate."""
     g = gate(_delta_summary(spark, sf_dir), 2, 7)
-    return g.select(_LONG("level"), "n", "mean", "lo", "hi", rounded(F.col("halfwidth")).alias("halfwidth"), "in_gate_window", "gate_pass")
+    return g.select(_LONG("level"), "n", "mean", "lo", "hi", rounded(F.col("halfwidth"), 9).alias("halfwidth"), "in_gate_window", "gate_pass")
 
 
 def _lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +128,9 @@ def checkpoint_base_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LENS}, h AS (SELECT lens, min(n) AS n_least, max(n) AS n_most, max((hi - lo) / 2) AS mx, quantile_cont((hi - lo) / 2, 0.5) AS md FROM s GROUP BY lens)
-    SELECT lens, n_least, n_most, round(mx, 6) + 0.0 AS max_halfwidth, round(md, 6) + 0.0 AS median_halfwidth, CASE WHEN round(mx, 6) <= 0.05 THEN 'RESOLVABLE' ELSE 'NOT RESOLVABLE' END AS verdict FROM h""")
+    SELECT lens, n_least, n_most, round(mx, 9) + 0.0 AS max_halfwidth, round(md, 9) + 0.0 AS median_halfwidth, CASE WHEN round(mx, 9) <= 0.05 THEN 'RESOLVABLE' ELSE 'NOT RESOLVABLE' END AS verdict FROM h""")
 def mde_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest and median half-width over levels, and whether an effect of 0.05 can be resolved."""
     h = _lenses(spark, sf_dir).withColumn("w", (F.col("hi") - F.col("lo")) / 2).groupBy("lens").agg(
-        F.min("n").alias("n_least"), F.max("n").alias("n_most"), rounded(F.max("w")).alias("max_halfwidth"), rounded(F.percentile("w", 0.5)).alias("median_halfwidth"))
+        F.min("n").alias("n_least"), F.max("n").alias("n_most"), rounded(F.max("w"), 9).alias("max_halfwidth"), rounded(F.percentile("w", 0.5), 9).alias("median_halfwidth"))
     return h.withColumn("verdict", F.when(F.col("max_halfwidth") <= 0.05, "RESOLVABLE").otherwise("NOT RESOLVABLE"))
