@@ -46,7 +46,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, p
     hashed = sizes.where("n_tokens > 0").join(F.broadcast(wanted), "source").select(
         "source", "id", "n_tokens", "share", F.explode(F.sequence(F.lit(1), F.col("rounds").cast("int"))).alias("repeat_no")).withColumn(
         "h", F.xxhash64("id", "repeat_no", F.lit(seed)))
-    sliced = hashed.withColumn("slice", F.floor(F.shiftrightunsigned("h", 1) / F.lit(float(2**63) / parts)).cast("int"))
+    hashed = hashed.withColumn("h", F.shiftrightunsigned("h", 1))
+    sliced = hashed.withColumn("slice", F.floor(F.col("h") / F.lit(float(2**63) / parts)).cast("int"))
     before = Window.partitionBy("source").orderBy("repeat_no", "slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sliced.groupBy("source", "repeat_no", "slice").agg(F.sum("n_tokens").alias("t")).select(
         "source", "repeat_no", "slice", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("skip"))

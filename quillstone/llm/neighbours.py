@@ -77,7 +77,7 @@ def nearest_neighbours(
     looked up in its own shard and in the probes - 1 next ones of its group.
     """
     spark = df.sparkSession
-    grp: Column = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in group_cols])
+    grp: Column = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in group_cols])
     base = df.select(
         grp.alias("grp"), F.col(id_col).cast("bigint").alias("id"),
         (F.col(tag_col).cast("string") if tag_col else F.lit(None).cast("string")).alias("tag"),

@@ -46,7 +46,7 @@ def canonical_language(c: Column) -> Column:
 
 
 def canonical_source(c: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim(c)), "[_ ]+", "-"), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(c), "[_ -]+", "-"), "^-|-$", ""), F.lit("")), F.lit("unknown"))
 
 
 def features(texts: list[str | None]) -> np.ndarray:
