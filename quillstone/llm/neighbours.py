@@ -66,7 +66,7 @@ def _centroids(x: np.ndarray, count: int, rows_each: float, limit: float, seed:
 
 def nearest_neighbours(
     df: DataFrame, id_col: str, vec_col: str, group_cols: list[str], *, tag_col: str | None = None, k: int = 5,
-    min_cosine: float | None = None, dim: int = 48, degree: int = 32, beam: int = 40, search_beam: int = 64,
+    min_cosine: float | None = None, dim: int = 48, degree: int = 32, beam: int = 48, search_beam: int = 96,
     shard_rows: int = 64_000, probes: int = 3, sample_per_shard: int = 512, max_shards: int = 20_000,
 ) -> DataFrame:
     """(grp, id, neighbour, neighbour_tag, cosine, rank): at most k neighbours of each usable vector.

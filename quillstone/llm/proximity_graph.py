@@ -78,7 +78,8 @@ class ProximityGraph:
         """The reported pairs, both ways round, without repeats.
 
         A point with so many partners that a beam may not have held them all is looked up
-        again in the finished graph, with a beam that is doubled until it ends below min_sim.
+        again in the finished graph, with a beam that is doubled until it ends below min_sim
+        (or holds eight times as many, far more than the few best that are asked for).
         """
         a = np.concatenate([x for x, _ in self.met]) if self.met else np.zeros(0, np.int32)
         b = np.concatenate([y for _, y in self.met]) if self.met else np.zeros(0, np.int32)
@@ -93,6 +94,20 @@ class ProximityGraph:
             wide *= 2
         a, b = (np.concatenate([x[i] for x in more]).astype(np.int64) for i in (0, 1))
         both = np.unique(np.concatenate([a * self.n + b, b * self.n + a]))
+        # partners of a partner are compared as well; crowded points had their own search
+        a, b = both // self.n, both % self.n
+        first, count = np.searchsorted(a, np.arange(self.n)), np.bincount(a, minlength=self.n)
+        few = count[b] < self.beam
+        x, via = a[few], b[few]
+        reach = count[via]
+        c = b[np.repeat(first[via] - np.r_[0, np.cumsum(reach)[:-1]], reach) + np.arange(reach.sum())] if len(via) else via
+        x = np.repeat(x, reach)
+        new = np.setdiff1d(x[x != c] * self.n + c[x != c], both)
+        for lo in range(0, len(new), 1 << 16):
+            i, j = new[lo: lo + (1 << 16)] // self.n, new[lo: lo + (1 << 16)] % self.n
+            near = np.einsum("ij,ij->i", self.x[i], self.x[j]) >= self.min_sim
+            both = np.concatenate([both, new[lo: lo + (1 << 16)][near]])
+        both = np.unique(both)
         return both // self.n, both % self.n
 
     def _prune(self, owners: np.ndarray, cand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
