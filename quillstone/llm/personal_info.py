@@ -54,7 +54,7 @@ _NOT = re.compile(
     r"(?i)(?:\b(?:order|isbn|seed|sha|host|build|version|ver|units?|lat|lon|file|note|invoice|ticket|case|art|score|arr|issn|doi|no\. of)\b[^\d]{0,3}|§\s?|#)$")
 _ID_LEFT = re.compile(
     r"(?i)(?:social security(?: (?:no|number))?|\bssn|passport(?: (?:no|number|is))?|\btax (?:id|no|number)|national (?:id|insurance)(?: (?:no|number))?|\bid(?:entity)?(?: (?:card|no|number))?|\bnino|\bnik|\bnpwp|\bcccd|\bcmnd"
-    r"|身份证号?码?|护照号?码?|税号|社保号|個人番号|マイナンバー|本人確認番号|旅券番号|免許証番号|パスポート番号|주민등록번호|외국인등록번호|여권번호|الهوية|جواز السفر|الضريبي|เลขประจำตัว\S*|หนังสือเดินทาง|căn cước|hộ chiếu|mã số thuế|\bno\. ktp|paspor)[^\w]{0,3}(?:is|は|為|为)?[^\w]{0,3}$")
+    r"|身份证号?码?|证件号?码?|护照号?码?|税号|社保号|個人番号|マイナンバー|本人確認番号|旅券番号|免許証番号|パスポート番号|주민등록번호|외국인등록번호|여권번호|الهوية|جواز السفر|الضريبي|เลขประจำตัว\S*|หนังสือเดินทาง|căn cước|hộ chiếu|mã số thuế|\bno\. ktp|paspor)[^\w]{0,3}(?:is|は|是|為|为)?[^\w]{0,3}$")
 _CODE = re.compile(r"(?<![A-Za-z0-9\-])(?:[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]|[A-Z]{1,2}\s?\d{6,9})(?![\w\-])")
 
 
@@ -262,6 +262,7 @@ _HAN_NAME = [
     re.compile(r"(?:السيدة?|والاسم:|الاسم:|الدكتورة?|الأستاذة?) (?P<n>[ء-ي]{2,12} (?:ال)?[ء-ي]{2,14})(?=[ .،,\n]|$)"),
     re.compile(r"(?<![ก-๎])(?:ติดต่อ)?(?:คุณ|นาย|นางสาว|นาง)(?P<n>[ก-๎]{2,20} [ก-๎]{2,24})(?= (?:ที่|อยู่|โทร)|\s|$)"),
 ]
+_NEAR = re.compile(r"\s?(?:근처|부근|附近|近く)")  # what is near it is a place
 _HONOUR_TOO = re.compile(r"先生|女士|様|さん|氏|님|씨|السيد|الاسم|คุณ|นาย|นาง|经办人|姓名|성명|담당자|원고|피고")
 
 
@@ -275,7 +276,8 @@ def _script_names(text: str, names: Names, lone: list) -> Iterator[tuple[int, in
     for script, pattern, before in lone:
         if script.search(text):
             for m in pattern.finditer(text):
-                if not (before and m.start() and re.match(f"[{before}]", text[m.start() - 1])):
+                inside = before and m.start() and re.match(f"[{before}]", text[m.start() - 1])
+                if not inside and not _NEAR.match(text, m.end()):
                     yield m.start(), m.end(), "name", 1.1
 
 
@@ -285,7 +287,9 @@ def _lone(names: Names) -> list[tuple[re.Pattern, re.Pattern, str]]:
     for tag, sep, script, before in (("han", "[ 　]?", f"[{_HAN}]", ""), ("hangul", "", "[가-힣]", "가-힣")):
         fam, giv = names.scripts[tag]
         if fam and giv:
-            body = f"(?:{'|'.join(map(re.escape, fam))}){sep}(?:{'|'.join(map(re.escape, giv))})"
+            # in Hangul a place name may begin like a name; only a word of its own counts
+            after = "(?![가-힣])" if tag == "hangul" else ""
+            body = f"(?:{'|'.join(map(re.escape, fam))}){sep}(?:{'|'.join(map(re.escape, giv))}){after}"
             parts.append((re.compile(script), re.compile(body), before))
     for chars in ("ء-ي", "ก-๎"):
         giv, fam = ([re.escape(n) for n in sorted(names.known[k]) if re.fullmatch(f"[{chars}]+", n)] for k in ("given", "family"))

@@ -233,6 +233,8 @@ LONE = personal_info._lone(KNOWN)
     ("Corix Tarsen annotated this row", [("name", "Corix Tarsen")]),
     ("担当は槙塚 朔弥様、", [("name", "槙塚 朔弥")]),
     ("성명 랑예리.", [("name", "랑예리")]),
+    ("他的证件号码是992759195906082170。", [("id_number", "992759195906082170")]),
+    ("랑예리의 나침반, 랑예리 근처에서", []),
     ("mail [EMAIL] or [PHONE]", []),
     ("", []),
 ])
