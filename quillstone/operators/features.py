@@ -67,14 +67,13 @@ def co_activation(code: DataFrame, pairs: DataFrame, group: list[str], rotation:
     n = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     partner = pairs.select(*group, F.col("i").alias("j"), F.col("key_b").alias("key_d"))
     p = pairs.join(n, group).withColumn("j", F.pmod(F.col("i") + rotation, F.col("n"))).join(partner, [*group, "j"])
+    long = p.select(*group, "n", "key_a", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("cond"), F.col(k).alias("key")) for c, k in (("own", "key_b"), ("rotated", "key_d"))])).alias("s")).select(*group, "n", "key_a", "s.*")
     a = code.select(F.col("key").alias("key_a"), "feature_idx", F.col("z").alias("za"))
-    both = lambda key, name: p.join(a, "key_a").join(
-        code.select(F.col("key").alias(key), "feature_idx", F.col("z").alias("zb")), [key, "feature_idx"]).groupBy(*group, "n", "feature_idx").agg(
-        F.sum(F.least("za", "zb")).alias(name))
-    own, rot = both("key_b", "own"), both("key_d", "rotated").drop("n")
-    m = own.drop("n").join(rot, [*group, "feature_idx"], "full").join(n, group)
-    mean = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.col("n")
-    return m.select(*group, "feature_idx", mean("own").alias("own"), mean("rotated").alias("rotated"), (mean("own") - mean("rotated")).alias("contrast"))
+    b = code.select("key", "feature_idx", F.col("z").alias("zb"))
+    mean = lambda c: F.sum(F.when(F.col("cond") == c, F.least("za", "zb")).otherwise(0.0)) / F.first("n")
+    m = long.join(a, "key_a").join(b, ["key", "feature_idx"]).groupBy(*group, "feature_idx").agg(mean("own").alias("own"), mean("rotated").alias("rotated"))
+    return m.withColumn("contrast", F.col("own") - F.col("rotated"))
 
 
 def top_per_group(df: DataFrame, group: list[str], score: Column, tie: str, k: int) -> DataFrame:

@@ -137,11 +137,10 @@ def project_softmax_mass(vectors: DataFrame, weights: DataFrame, *, max_bytes: i
 
 def softmax(logits: DataFrame, group: list[str], logit: str = "logit") -> DataFrame:
     """logits with log_prob and prob over each group, shifted by the group's maximum."""
-    g = logits.groupBy(*group).agg(F.max(logit).alias("_m"))
-    shifted = logits.join(g, group)
-    z = shifted.groupBy(*group).agg(F.log(F.sum(F.exp(F.col(logit) - F.col("_m")))).alias("_z"))
-    out = shifted.join(z, group).withColumn("log_prob", F.col(logit) - F.col("_m") - F.col("_z"))
-    return out.withColumn("prob", F.exp("log_prob")).drop("_m", "_z")
+    w = Window.partitionBy(*group)  # a group is one vocabulary
+    shifted = logits.withColumn("_z", F.col(logit) - F.max(logit).over(w))
+    out = shifted.withColumn("log_prob", F.col("_z") - F.log(F.sum(F.exp("_z")).over(w)))
+    return out.withColumn("prob", F.exp("log_prob")).drop("_z")
 
 
 def entropy(counts: DataFrame, group: list[str], n: str = "n") -> DataFrame:
