@@ -14,7 +14,9 @@ Only the named columns are read, so other columns and their names don't matter.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +69,15 @@ def _centroids(x: np.ndarray, count: int, rows_each: float, limit: float, seed:
 def nearest_neighbours(
     df: DataFrame, id_col: str, vec_col: str, group_cols: list[str], *, tag_col: str | None = None, k: int = 5,
     min_cosine: float | None = None, dim: int = 48, degree: int = 32, beam: int = 48, search_beam: int = 96,
-    shard_rows: int = 64_000, probes: int = 3, sample_per_shard: int = 512, max_shards: int = 20_000,
+    shard_rows: int = 64_000, probes: int | None = None, sample_per_shard: int = 512, max_shards: int = 20_000,
 ) -> DataFrame:
     """(grp, id, neighbour, neighbour_tag, cosine, rank): at most k neighbours of each usable vector.
 
     The driver holds sample_per_shard rows for each of at most max_shards shards while it
     fits the centroids (the sample is bounded by these two parameters); the centroids, at
     most max_shards vectors, are what tasks receive.  Every row is indexed.  A vector is
-    looked up in its own shard and in the probes - 1 next ones of its group.
+    looked up in every shard of its group, so the cut into shards loses no neighbour; with
+    probes, only in its own shard and in the probes - 1 next ones.
     """
     spark = df.sparkSession
     grp: Column = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in group_cols])
@@ -163,28 +166,36 @@ def nearest_neighbours(
             x, names, ids, tags = x[keep], names[keep], ids[keep], tags[keep]
             if not len(ids):
                 continue
-            to = np.full((len(ids), max(1, probes)), -1, np.int64)
-            for name in set(names.tolist()):
+            for name in sorted(set(names.tolist())):
                 mine = np.flatnonzero(names == name)
-                if name in held.value:
-                    start, c = held.value[name]
-                    sims = x[mine] @ c.T
-                    m = min(probes, len(c))
-                    to[mine[:, None], np.arange(m)] = start + np.argsort(-sims, axis=1, kind="stable")[:, :m]
-                else:
-                    to[mine, 0] = shards + zlib.crc32(name.encode()) % small
-            r, p = np.nonzero(to >= 0)
-            raw = np.ascontiguousarray(x[r])
-            offsets = np.arange(len(r) + 1, dtype=np.int32) * (dim * 4)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(to[r, p].astype(np.int32)), pa.array(p == 0), pa.array(names[r], pa.string()),
-                pa.array(ids[r]), pa.array(tags[r], pa.string()), pa.nulls(len(r), pa.int64()),
-                pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]),
-            ], names=["shard", "home", "grp", "id", "tag", "other", "vec"])
+                start, c = held.value.get(name, (shards + zlib.crc32(name.encode()) % small, None))
+                m = 1 if c is None else len(c) if probes is None else min(max(1, probes), len(c))
+                step = max(1, (1 << 22) // m)
+                for lo in range(0, len(mine), step):
+                    r = mine[lo: lo + step]
+                    near = np.zeros((len(r), 1), np.int64) if c is None else np.argsort(-(x[r] @ c.T), axis=1, kind="stable")
+                    raw = np.ascontiguousarray(x[r])
+                    offsets = np.arange(len(r) + 1, dtype=np.int32) * (dim * 4)
+                    vecs = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                    for p in range(m):  # a batch each, however many shards there are
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array((start + near[:, p]).astype(np.int32)), pa.array(np.full(len(r), p == 0)), pa.array(names[r], pa.string()),
+                            pa.array(ids[r]), pa.array(tags[r], pa.string()), pa.nulls(len(r), pa.int64()), vecs,
+                        ], names=["shard", "home", "grp", "id", "tag", "other", "vec"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
+        # rows at home come first; those that only look here stream past the finished graph
+        batches = iter(batches)
+        got, late = [], []
+        for b in batches:
+            own = np.count_nonzero(b.column("home").to_numpy(zero_copy_only=False))
+            if own:
+                got.append(b.slice(0, own))
+            if own < b.num_rows:
+                late.append(b.slice(own))
+                break
         if not got:
+            deque(batches, maxlen=0)
             return
         t = pa.Table.from_batches(got)
         known = t.filter(pa.compute.is_valid(t["other"]))
@@ -194,16 +205,17 @@ def nearest_neighbours(
                 names=["grp", "id", "neighbour", "neighbour_tag", "cosine"])
         t = t.filter(pa.compute.is_null(t["other"]))
         if not t.num_rows:
+            deque(batches, maxlen=0)
             return
         vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(-1, dim)
-        ids, home = t["id"].to_numpy(), t["home"].to_numpy()
+        ids = t["id"].to_numpy()
         tags, names = np.array(t["tag"].to_pylist(), dtype=object), np.array(t["grp"].to_pylist(), dtype=object)
 
-        def pick(name, q, r, to):
-            """The k best of the candidates `to` of queries q[r], by exact cosine, then id."""
-            real = (to >= 0) & (ids[np.maximum(to, 0)] != ids[q[r]])
+        def pick(name, q_id, q_vec, r, to):
+            """The k best of the candidates `to` of queries r, by exact cosine, then id."""
+            real = (to >= 0) & (ids[np.maximum(to, 0)] != q_id[r])
             r, to = r[real], to[real]
-            a, b = vec[q[r]].astype(np.float64), vec[to].astype(np.float64)
+            a, b = q_vec[r].astype(np.float64), vec[to].astype(np.float64)
             cos = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
             if min_cosine is not None:
                 ok = cos >= min_cosine
@@ -215,17 +227,14 @@ def nearest_neighbours(
                 best = rank < k
                 r, to, cos = r[best], to[best], cos[best]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(r), pa.string()), pa.array(ids[q[r]]), pa.array(ids[to]),
+                    [pa.array([name] * len(r), pa.string()), pa.array(q_id[r]), pa.array(ids[to]),
                      pa.array(tags[to], pa.string()), pa.array(cos)],
                     names=["grp", "id", "neighbour", "neighbour_tag", "cosine"])
 
         for name in sorted(set(names.tolist())):
-            mine = np.flatnonzero(names == name)
-            inside = mine[home[mine]]
+            inside = np.flatnonzero(names == name)
             # one entry per (id, vector), by id; then one point per distinct vector
             inside = inside[np.lexsort((inside, ids[inside]))]
-            if not len(inside):
-                continue
             points, point_of = np.unique(vec[inside], axis=0, return_inverse=True)
             point_of = point_of.ravel()
             pair = np.unique(np.stack([point_of, ids[inside]], axis=1), axis=0, return_index=True)[1]
@@ -238,12 +247,7 @@ def nearest_neighbours(
             member[point_of[fits], rank[fits]] = inside[fits]
             floor = None if min_cosine is None else min_cosine - 1e-5  # float32 sums; the exact test follows
             graph = ProximityGraph(points, degree=degree, beam=beam, min_sim=floor)
-            outside = mine[~home[mine]]
-            outside = outside[np.unique(ids[outside], return_index=True)[1]] if len(outside) else outside
-            todo = [(outside, None)]
-            if floor is None:
-                todo.append((inside, point_of))
-            else:  # every insertion was a search: what the insertions met is the answer
+            if floor is not None:  # every insertion was a search: what the insertions met is the answer
                 a, b = graph.pairs()
                 a, b = np.concatenate([a, np.arange(len(points))]), np.concatenate([b, np.arange(len(points))])
                 by = np.argsort(a, kind="stable")
@@ -258,18 +262,26 @@ def nearest_neighbours(
                     to_point = b[np.repeat(first - np.r_[0, np.cumsum(count[p])[:-1]], count[p]) + np.arange(len(r))]
                     cand = member[to_point]
                     r = np.repeat(r, cand.shape[1])
-                    yield from pick(name, q, r, cand.ravel())
-            for block, own in todo:
-                for lo in range(0, len(block), 4096):
-                    q = block[lo: lo + 4096]
-                    o = None if own is None else own[lo: lo + 4096].astype(np.int32)
-                    near = graph.search(vec[q], search_beam, block=o)[1][:, : k + 1]
-                    if o is not None:
-                        near = np.concatenate([o[:, None], near], axis=1)
-                    cand = member[near].reshape(len(q), -1)
-                    yield from pick(name, q, np.repeat(np.arange(len(q)), cand.shape[1]), cand.ravel())
+                    yield from pick(name, ids[q], vec[q], r, cand.ravel())
+                continue
+            for lo in range(0, len(inside), 4096):
+                q = inside[lo: lo + 4096]
+                o = point_of[lo: lo + 4096].astype(np.int32)
+                near = np.concatenate([o[:, None], graph.search(vec[q], search_beam, block=o)[1][:, : k + 1]], axis=1)
+                cand = member[near].reshape(len(q), -1)
+                yield from pick(name, ids[q], vec[q], np.repeat(np.arange(len(q)), cand.shape[1]), cand.ravel())
+        for b in chain(late, batches):  # a shard of a large group holds nothing else
+            q_vec = np.frombuffer(b"".join(b.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+            q_id = b.column("id").to_numpy()
+            for lo in range(0, len(q_id), 4096):
+                v = q_vec[lo: lo + 4096]
+                cand = member[graph.search(v, search_beam)[1][:, : k + 1]].reshape(len(v), -1)
+                yield from pick(name, q_id[lo: lo + 4096], v, np.repeat(np.arange(len(v)), cand.shape[1]), cand.ravel())
 
-    found = base.mapInArrow(route, _ROUTED).repartitionById(n_parts, F.col("shard")).mapInArrow(search, _FOUND)
+    routed = base.mapInArrow(route, _ROUTED).repartitionById(n_parts, F.col("shard"))
+    if shards:
+        routed = routed.sortWithinPartitions(F.desc("home"))
+    found = routed.mapInArrow(search, _FOUND)
     best = found.groupBy("grp", "id", "neighbour").agg(
         F.max("cosine").alias("cosine"), F.min("neighbour_tag").alias("neighbour_tag"))
     order = Window.partitionBy("grp", "id").orderBy(F.col("cosine").desc(), "neighbour")

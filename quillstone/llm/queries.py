@@ -26,7 +26,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of which at least one has the other among its 5 nearest, cosine 0.9 or more."""
     near = nearest_neighbours(
         _table(spark, sf_dir, "activations"), "vec_id", "h", ["model_slug", "layer"],
-        min_cosine=0.9, degree=24, beam=24, search_beam=32, probes=2)
+        min_cosine=0.9, degree=24, beam=24, search_beam=32)
     return near.select(
         F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
 

@@ -117,6 +117,24 @@ def test_neighbours_with_shards(spark):
     assert np.mean([len(set(want[i].tolist()) & by[i]) / 5 for i in range(600)]) >= 0.9
 
 
+def test_shards_lose_no_neighbours(spark):
+    x = cloud(1200, seed=5)
+    df = vectors(spark, [(i, "a", [float(v) for v in x[i]], "", "", "") for i in range(1200)])
+    want, sims = true_neighbours(x, 5)
+    top = np.take_along_axis(sims, want, 1)
+    got = neighbours.nearest_neighbours(df, "vec_id", "h", ["grp2"], shard_rows=100).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.id, set()).add(r.neighbour)
+    assert np.mean([len(set(want[i].tolist()) & by[i]) / 5 for i in range(1200)]) >= 0.95
+    assert all(len(v) == 5 for v in by.values())
+    # the same with a least cosine
+    least = float(np.median(top))
+    near = neighbours.nearest_neighbours(df, "vec_id", "h", ["grp2"], shard_rows=100, min_cosine=least).collect()
+    pairs = {(i, int(j)) for i in range(1200) for j, c in zip(want[i], top[i]) if c >= least + 1e-6}
+    assert len(pairs & {(r.id, r.neighbour) for r in near}) / len(pairs) >= 0.95
+
+
 def test_copies_of_a_vector(spark):
     rng = np.random.default_rng(1)
     same = [float(v) for v in rng.normal(size=48)]
