@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
 from .projection import project_top_k
+from .ranking import minibatches
 
 
 def encode(vectors: DataFrame, encoder: DataFrame, k: int, digits: int | None = 9) -> DataFrame:
@@ -113,8 +117,7 @@ def max_activating(acts: DataFrame, n: int) -> DataFrame:
 class SparseAutoencoder:
     """Top-k autoencoder with an auxiliary loss for dead features, trained by Adam in NumPy.
 
-    A sample that fits on the driver is trained on (the caller bounds it); decoder columns
-    keep unit norm after every step.
+    It sees a batch at a time; decoder columns keep unit norm after every step.
     """
 
     def __init__(self, hidden: int, size: int, k: int, seed: int = 0):
@@ -174,3 +177,48 @@ def train(x: np.ndarray, size: int, k: int, batch: int, epochs: int, lr: float =
             m = sae.update(x[order[b * batch: (b + 1) * batch]], lr)
             log.append({"step": sae.step - 1, "epoch": epoch, "batch": b, **m})
     return sae, log
+
+
+def train_log(vectors: DataFrame, size: int, k: int, batch: int, epochs: int, lr: float = 1e-3, seed: int = 0) -> DataFrame:
+    """(step, epoch, batch, recon_mse, num_dead, dead_ratio): one row per step of a training over all vectors.
+
+    vectors: (key, v), one row per key, v of one length.  Every epoch permutes all of them by
+    minibatches().  Steps depend on each other, so one task takes the batches in order; they
+    stream through it and it holds one batch and the model.
+    """
+    x = vectors.where("v is not null").select("key", F.col("v").cast("array<double>").alias("v"))
+    plan = None
+    for e in range(epochs):
+        p = minibatches(x, "key", batch, epoch=e, seed=seed).withColumn("epoch", F.lit(e))
+        plan = p if plan is None else plan.unionByName(p)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sae, held, at = None, [], None
+
+        def step() -> pa.RecordBatch:
+            nonlocal sae
+            rows = np.concatenate(held)
+            sae = sae or SparseAutoencoder(rows.shape[1], size, k, seed)
+            m = sae.update(rows, lr)
+            log = {"step": sae.step - 1, "epoch": at[0], "batch": at[1], **m}
+            return pa.RecordBatch.from_pylist([log], schema=pa.schema([
+                ("step", pa.int32()), ("epoch", pa.int32()), ("batch", pa.int32()), ("recon_mse", pa.float64()), ("num_dead", pa.int32()), ("dead_ratio", pa.float64())]))
+
+        for b in parts:
+            if not b.num_rows:
+                continue
+            rows = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            epoch, number = (b.column(c).to_numpy(zero_copy_only=False) for c in ("epoch", "batch"))
+            start = np.flatnonzero(np.r_[True, (epoch[1:] != epoch[:-1]) | (number[1:] != number[:-1])])
+            for lo, hi in zip(start, np.r_[start[1:], b.num_rows]):
+                now = (int(epoch[lo]), int(number[lo]))
+                if held and now != at:
+                    yield step()
+                    held = []
+                at = now
+                held.append(rows[lo:hi])
+        if held:
+            yield step()
+
+    return plan.join(x, "key").repartition(1).sortWithinPartitions("epoch", "batch", "key").select("epoch", "batch", "v").mapInArrow(
+        run, "step int, epoch int, batch int, recon_mse double, num_dead int, dead_ratio double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -183,8 +182,5 @@ def max_activating_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sae_train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training log of a small autoencoder on a bounded sample of 4,096 vectors, the first by a hash."""
-    rows = _emb(spark, sf_dir).orderBy(F.xxhash64("vec_id"), "vec_id").limit(4096).select("embedding").toArrow()
-    x = np.array(rows["embedding"].to_pylist(), float)
-    _, log = O.train(x, 128, K, 128, 3)
-    return spark.createDataFrame(log, "step int, epoch int, batch int, recon_mse double, num_dead int, dead_ratio double")
+    """Training log of a small autoencoder on all vectors."""
+    return O.train_log(_emb(spark, sf_dir).select(F.col("vec_id").alias("key"), F.col("embedding").alias("v")), 128, K, 128, 3)

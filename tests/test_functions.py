@@ -8,6 +8,7 @@ from quillstone.functions import scripts, text, vectors
 from quillstone.operators import geometry, interventions, projection, ranking
 from quillstone.operators import corpus as corpus_ops
 from quillstone.operators import features as feature_ops
+from quillstone.plans import catalogue as catalogue_of_queries
 from quillstone.sources import catalogue, files
 
 
@@ -145,6 +146,20 @@ def test_training_lowers_the_error():
     assert log[-1]["recon_mse"] < log[0]["recon_mse"]
 
 
+def test_training_sees_every_vector(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(5000, 8)).astype(np.float32)
+    spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(5000)], "vec_id bigint, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    log = catalogue_of_queries.queries()["sae_train_metrics"](spark, str(tmp_path)).orderBy("step").toPandas()
+    assert list(log["step"]) == list(range(3 * (5000 // 128)))
+    assert log.groupby("epoch")["batch"].agg(list).map(lambda b: b == list(range(39))).all()
+    # the same steps in NumPy, from the batches of the plan
+    sae, want = feature_ops.SparseAutoencoder(8, 128, 8), []
+    for e in range(3):
+        plan = ranking.minibatches(spark.range(5000).withColumnRenamed("id", "vec_id"), "vec_id", 128, epoch=e).toPandas().sort_values(["batch", "vec_id"])
+        want += [sae.update(x[g["vec_id"].to_numpy()].astype(float))["recon_mse"] for _, g in plan.groupby("batch")]
+    assert log["recon_mse"].tolist() == pytest.approx(want)
+
+
 def test_expect_rows(spark):
     df = spark.range(3)
     assert corpus_ops.expect_rows(df, 3).count() == 3
