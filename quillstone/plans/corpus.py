@@ -124,16 +124,11 @@ _MIF = f"""{PACKET}, ja AS (SELECT packet_row_id, source_row_id, split_part(pack
         row_number() OVER (PARTITION BY ja.packet_row_id ORDER BY ko.packet_row_id) AS rn FROM ja JOIN ko ON CAST(ja.source_row_id AS BIGINT) % 10 = CAST(ko.source_row_id AS BIGINT) % 10 AND contains(ko.packet_row_id, subtask))"""
 
 
-def _number(c: str):
-    """The tables share few source ids between languages; their last digit is the key here."""
-    return F.pmod(F.col(c).cast("bigint"), F.lit(10))
-
-
 def _mif_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packet(spark, sf_dir)
     ja = p.where(F.col("packet_row_id").startswith("ja-mif-")).select("packet_row_id", "source_row_id", F.split_part("packet_row_id", F.lit("-"), F.lit(3)).alias("subtask"))
     ko = p.where(F.col("packet_row_id").startswith("ko-mif-")).select("packet_row_id", "source_row_id")
-    return C.first_theta_match(ja, ko, "packet_row_id", _number("l.source_row_id") == _number("r.source_row_id"),
+    return C.first_theta_match(ja, ko, "packet_row_id", F.col("l.source_row_id") == F.col("r.source_row_id"),
                                F.contains(F.col("r.packet_row_id"), F.col("l.subtask")), [F.col("r.packet_row_id")]).select(
         F.col("l.packet_row_id").alias("ja_id"), F.col("r.packet_row_id").alias("ko_id"), F.col("l.source_row_id").alias("source_row_id"), "subtask")
 
