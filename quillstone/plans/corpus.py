@@ -200,8 +200,15 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CORPUS}, w AS (SELECT row_id, source, language, {_WORDS}[1:512] AS words FROM corpus_rows_1 WHERE text IS NOT NULL)
     SELECT row_id, source, language, CAST(i - 1 AS BIGINT) AS token_idx, words[i] AS token FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM w)""")
 def token_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per token with its row's metadata; texts are cut after 512 tokens, as models read them."""
-    w = _words(spark, sf_dir).withColumn("words", F.slice("words", 1, 512))
+    """One row per token of the whole texts, with its row's metadata."""
+    return _tokens(spark, sf_dir)
+
+
+def _tokens(spark: SparkSession, sf_dir: str, max_tokens: int | None = None) -> DataFrame:
+    """(row_id, source, language, token_idx, token); with max_tokens, texts are cut there, as models read them."""
+    w = _words(spark, sf_dir)
+    if max_tokens is not None:
+        w = w.withColumn("words", F.slice("words", 1, max_tokens))
     return w.select("row_id", "source", "language", F.posexplode("words").alias("token_idx", "token")).withColumn("token_idx", F.col("token_idx").cast("bigint"))
 
 

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 
 from oracle import duck, rows
 from quillstone.plans import catalogue
+from quillstone.plans import corpus as corpus_plans
 
 QUERIES = catalogue.queries()
 T = datetime.datetime(2026, 1, 1)
@@ -42,3 +43,15 @@ SAME_ID = """WITH p AS (SELECT DISTINCT packet_row_id, source_row_id FROM eval_p
 def test_partners_match_sql_of_equal_ids(spark, tmp_path):
     d = packet_dir(tmp_path, PACKET)
     assert rows(QUERIES["pair_theta_join"](spark, d).select("ja_id", "ko_id").toPandas()) == rows(duck(d, SAME_ID))
+
+
+def test_tokens_of_whole_texts(spark, tmp_path):
+    texts = {"long": " ".join(f"w{i}" for i in range(700)), "short": " a\tb\n\nc ", "empty": "  ", "null": None}
+    schema = pa.schema([(c, pa.string()) for c in ("source", "row_id", "language", "text")] + [("loaded_at", pa.timestamp("us"))])
+    pq.write_table(pa.Table.from_pylist([{"source": "s", "row_id": k, "language": "en", "text": v, "loaded_at": T} for k, v in texts.items()], schema=schema),
+                   f"{tmp_path}/corpus_rows.parquet")
+    want = [("long", i, f"w{i}") for i in range(700)] + [("short", i, w) for i, w in enumerate("abc")]
+    got = sorted((r.row_id, r.token_idx, r.token) for r in QUERIES["token_explode"](spark, str(tmp_path)).collect())
+    assert got == want
+    cut = sorted((r.row_id, r.token_idx, r.token) for r in corpus_plans._tokens(spark, str(tmp_path), 512).collect())
+    assert cut == [r for r in want if r[1] < 512]
