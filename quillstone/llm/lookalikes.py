@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import materialise
+from .tokens import written
 
 # Letters and digits that look like those of another script, by prototype.
 PROTOTYPES = {
@@ -140,7 +140,7 @@ def same_reading_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     A reading whose rows all carry one text has no pairs and leaves before the join; rows
     of the others meet on the reading, so the work is the number of pairs asked for.
     """
-    keyed = materialise(same_reading_groups(df, id_col, text_col))  # hashes only; skeletons are made once
+    keyed = written(same_reading_groups(df, id_col, text_col))  # hashes only; skeletons are made once
     varied = keyed.groupBy("k1", "k2").agg(
         (F.min("text_class") != F.max("text_class")).alias("varied")).where("varied").select("k1", "k2")
     rows = keyed.join(varied, ["k1", "k2"], "left_semi")

@@ -15,7 +15,7 @@ from .personal_info import find_personal_info, redact_personal_info
 from .shared_spans import shared_share, span_pairs
 from .splitting import split_oversized
 from .token_budget import canonical_source, estimate_tokens, token_totals
-from .tokens import materialise, token_sizes
+from .tokens import token_sizes, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,7 @@ def p1_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", canonical_source(F.col("source")).alias("source"))
-    return materialise(token_sizes(docs, "doc_id", "text", ["source"]))
+    return written(token_sizes(docs, "doc_id", "text", ["source"]))
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> list:
@@ -183,4 +183,16 @@ def oracle_sql() -> dict:
             w AS (SELECT DISTINCT id, md5(substring(text, CAST(i AS INTEGER), 100)) AS h
                   FROM (SELECT id, text, unnest(range(1, length(text) - 98)) AS i FROM r))
             SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.h = b.h AND a.id < b.id""",
+        "p5_share": """
+            WITH r AS (SELECT DISTINCT row_id AS id, text FROM corpus_rows WHERE text IS NOT NULL
+                       UNION SELECT DISTINCT packet_row_id, source_text FROM triangulation_rows WHERE source_text IS NOT NULL),
+            w AS (SELECT id, md5(text) AS k, i, md5(substring(text, CAST(i AS INTEGER), 100)) AS h
+                  FROM (SELECT id, text, unnest(range(1, length(text) - 98)) AS i FROM r WHERE length(text) >= 100)),
+            c AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT id) > 1),
+            s AS (SELECT id, k, i, lead(i) OVER (PARTITION BY id, k ORDER BY i) AS after FROM w SEMI JOIN c USING (h)),
+            n AS (SELECT id, sum(least(100, coalesce(after - i, 100))) AS shared_chars FROM s GROUP BY id),
+            t AS (SELECT id, sum(length(text)) AS n_chars FROM r GROUP BY id)
+            SELECT id, CAST(n_chars AS BIGINT) AS n_chars, CAST(coalesce(shared_chars, 0) AS BIGINT) AS shared_chars,
+                CASE WHEN n_chars > 0 THEN CAST(coalesce(shared_chars, 0) AS DOUBLE) / n_chars ELSE 0.0 END AS shared_share
+            FROM t LEFT JOIN n USING (id)""",
     }

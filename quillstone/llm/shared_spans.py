@@ -4,13 +4,16 @@ Every window of a text is hashed (Rabin-Karp, modulo 2^64).  Of the windows of h
 span length the smallest hash of each run is an anchor: two texts with a common span of
 min_chars have a common anchor inside it.  Spark counts the anchors; only around repeated
 ones are the windows of min_chars hashed (128 bits) and counted.  Repeated windows merge
-into maximal intervals.  Equal texts are one text with several owners throughout, so
-copies add no work, and no list of owners is ever gathered: a set of owners travels as a
-signature that texts with the same shared windows have in common.
+into maximal intervals.  Records are first brought to distinct texts by an aggregate, so
+copies and re-delivered rows add no work and no result depends on where rows meet; no
+list of owners is ever gathered: a set of owners travels as a signature that texts with
+the same shared windows have in common.  Both hashing passes run once each, their results
+are written to the shared folder.
 
 Edge cases: null ids or texts and texts under min_chars share nothing (their share is 0);
 a re-delivered record counts once; an id with several texts has all of them, and for its share
-a span that two of its own texts have in common counts as shared; whole texts are read and line ends count as characters.
+a span that two of its own texts have in common counts as shared; whole texts are read (a long
+one by blocks that overlap by min_chars - 1) and line ends count as characters.
 """
 
 from __future__ import annotations
@@ -22,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import written
+
 # Odd multipliers of the rolling and the mixing hash.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Windows hashed at once, whatever the length of the text.
+BLOCK = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,6 +90,38 @@ def _records(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
         t.alias("text"))
 
 
+def _blocks(codes: np.ndarray, min_chars: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(offset, part of codes): every window of min_chars lies in exactly one part."""
+    for lo in range(0, max(1, len(codes) - min_chars + 1), BLOCK):
+        yield lo, codes[lo: lo + BLOCK + min_chars - 1]
+
+
+def _text_anchors(text: str, min_chars: int) -> np.ndarray:
+    return np.unique(np.concatenate([_anchors(c, min_chars)[1] for _, c in _blocks(_codes(text), min_chars)]))
+
+
+def _text_windows(text: str, repeated: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, start) of the windows around repeated anchors, in order of hash, then start."""
+    out = []
+    for lo, codes in _blocks(_codes(text), min_chars):
+        at, h = _anchors(codes, min_chars)
+        at = at[np.isin(h, repeated)]
+        last = len(codes) - min_chars
+        edge = np.zeros(last + 2, np.int64)
+        np.add.at(edge, np.clip(at - (min_chars - min_chars // 2), 0, last + 1), 1)
+        np.add.at(edge, np.clip(at + 1, 0, last + 1), -1)
+        start = np.flatnonzero(np.cumsum(edge)[: last + 1])
+        out.append((*(window_hashes(codes, min_chars, i)[start] for i in (0, 1)), start + lo))
+    h1, h2, start = (np.concatenate(x) for x in zip(*out))
+    by = np.lexsort((start, h2, h1))
+    return h1[by], h2[by], start[by]
+
+
+def _texts(records: DataFrame) -> DataFrame:
+    """(k1, k2, text, lo, hi): one row per distinct text with its first and last id; copies combine before the shuffle."""
+    return records.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+
+
 def _shared_windows(records: DataFrame, min_chars: int) -> DataFrame:
     """(k1, k2, starts, n, s1, s2): the windows of each distinct text that another distinct text has too."""
 
@@ -90,49 +129,33 @@ def _shared_windows(records: DataFrame, min_chars: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                found = [np.unique(_anchors(_codes(t), min_chars)[1]) for t in part.column("text").to_pylist()]
+                found = [_text_anchors(t, min_chars) for t in part.column("text").to_pylist()]
                 at = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
                         [_signed(np.concatenate(found)), part.column("k1").take(pa.array(at)), part.column("k2").take(pa.array(at))],
                         names=["anchor", "k1", "k2"])
 
-    marked = records.select("k1", "k2", "text").mapInArrow(anchors, "anchor bigint, k1 bigint, k2 bigint")
+    texts = _texts(records).select("k1", "k2", "text")
+    marked = written(texts.mapInArrow(anchors, "anchor bigint, k1 bigint, k2 bigint"))
     pair = F.struct("k1", "k2")
     repeated = marked.groupBy("anchor").agg(F.min(pair).alias("a"), F.max(pair).alias("b")).where("a != b").select("anchor")
-    wanted = marked.join(repeated, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"))
-    owner = records.groupBy("k1", "k2").agg(F.min("id").alias("id"))
-    texts = records.join(owner.join(wanted, ["k1", "k2"]), ["k1", "k2", "id"]).select("k1", "k2", "text", "anchors")
+    wanted = marked.join(repeated, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"))  # of one text
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # re-delivered rows of one owner meet in one task
         for b in batches:
             for row in b.to_pylist():
-                key = (row["k1"], row["k2"])
-                if key in seen:
-                    continue
-                seen.add(key)
-                codes = _codes(row["text"])
-                at, h = _anchors(codes, min_chars)
-                at = at[np.isin(h, np.array(row["anchors"], np.int64).view(np.uint64))]
-                last = len(codes) - min_chars
-                edge = np.zeros(last + 2, np.int64)
-                np.add.at(edge, np.clip(at - (min_chars - min_chars // 2), 0, last + 1), 1)
-                np.add.at(edge, np.clip(at + 1, 0, last + 1), -1)
-                start = np.flatnonzero(np.cumsum(edge)[: last + 1])
+                h1, h2, start = _text_windows(row["text"], np.array(row["anchors"], np.int64).view(np.uint64), min_chars)
                 if not len(start):
                     continue
-                h1, h2 = (window_hashes(codes, min_chars, i)[start] for i in (0, 1))
-                by = np.lexsort((start, h2, h1))
-                h1, h2, start = h1[by], h2[by], start[by]
                 first = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
                 starts = pa.ListArray.from_arrays(pa.array(np.r_[first, len(start)].astype(np.int32)), pa.array(start.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(h1[first]), _signed(h2[first]), pa.array(np.full(len(first), key[0])), pa.array(np.full(len(first), key[1])), starts],
+                    [_signed(h1[first]), _signed(h2[first]), pa.array(np.full(len(first), row["k1"])), pa.array(np.full(len(first), row["k2"])), starts],
                     names=["h1", "h2", "k1", "k2", "starts"])
 
-    found = texts.mapInArrow(windows, "h1 bigint, h2 bigint, k1 bigint, k2 bigint, starts array<int>")
-    owners = found.groupBy("h1", "h2").agg(
+    found = written(texts.join(wanted, ["k1", "k2"]).mapInArrow(windows, "h1 bigint, h2 bigint, k1 bigint, k2 bigint, starts array<int>"))
+    owners = found.groupBy("h1", "h2").agg(  # one row per window and text, so each owner counts once
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("k1", "k2")).alias("s1"),
         F.bit_xor(F.xxhash64(F.lit(2), "k1", "k2")).alias("s2")).where("n > 1")
     return found.join(owners, ["h1", "h2"]).select("k1", "k2", "starts", "n", "s1", "s2")
@@ -142,7 +165,7 @@ def span_pairs(df: DataFrame, id_col: str, text_col: str, min_chars: int = 100)
     """(id_a, id_b), id_a < id_b: different records with a common span of at least min_chars."""
     records = _records(df, id_col, text_col, min_chars)
     members = records.select("id", "k1", "k2").distinct()
-    sets = _shared_windows(records, min_chars).select("k1", "k2", "n", "s1", "s2").distinct()
+    sets = written(_shared_windows(records, min_chars).select("k1", "k2", "n", "s1", "s2").distinct())
     a, b = sets.alias("a"), sets.alias("b")
     same_set = (F.col("a.n") == F.col("b.n")) & (F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") == F.col("b.s2"))
     texts = a.join(b, same_set & (F.struct("a.k1", "a.k2") < F.struct("b.k1", "b.k2"))).select(
@@ -159,7 +182,7 @@ def shared_intervals(df: DataFrame, id_col: str, text_col: str, min_chars: int =
     records = _records(df, id_col, text_col, min_chars)
     members = records.select("id", "k1", "k2", F.length("text").alias("n_chars")).distinct()
     # a text owned by several ids is shared from end to end
-    copied = members.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("n_chars").alias("n_chars"))
+    copied = members.groupBy("k1", "k2", "n_chars").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     windows = _shared_windows(records, min_chars)
     covered = windows.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("s"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
@@ -47,14 +50,24 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str, carry: list[str] = ()
     return best.select("id", *[F.col(f"r.{c}").alias(c) for c in carry], F.col("r.n_tokens").alias("n_tokens"))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Written once to the folder in spark.checkpoint.dir, so that Python work isn't repeated."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:  # tests on one machine
-            import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which all executors share.
 
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    Unset, a temporary folder serves where all tasks run in this process (tests); elsewhere that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), f"checkpoint-{os.getpid()}")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: Python work runs once, and a lost executor repeats none of it.
+
+    The folder belongs to the cluster, which clears it like its checkpoints.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

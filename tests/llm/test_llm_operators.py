@@ -216,6 +216,42 @@ def test_shared_spans(spark):
     assert shared_spans.span_pairs(texts(spark, []), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("threshold", ["-1", "1g"])
+def test_shared_spans_do_not_depend_on_the_join(spark, tmp_path, threshold):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    rows = []
+    for i in range(20):
+        p = word(150)
+        rows += [(f"a{i:02}", word(80) + p), (f"b{i:02}", p + word(90))]
+    rows.append(("copy", rows[0][1]))
+    for part in range(3):  # every row delivered in three files
+        texts(spark, rows).coalesce(1).write.parquet(str(tmp_path / f"t/part{part}"))
+    df = spark.read.parquet(*(str(tmp_path / f"t/part{i}") for i in range(3)))
+    pairs, share = brute(rows, 100)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+        assert {tuple(r) for r in shared_spans.span_pairs(df, "id", "text").collect()} == pairs
+        assert {r.id: (r.n_chars, r.shared_chars) for r in shared_spans.shared_share(df, "id", "text").collect()} == share
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_long_texts_go_by_blocks(monkeypatch):
+    t = "".join(np.random.default_rng(5).choice(list("abc"), 900))
+    t += t[100:300]
+    whole = shared_spans._text_anchors(t, 100)
+    windows = shared_spans._text_windows(t, whole, 100)
+    monkeypatch.setattr(shared_spans, "BLOCK", 64)
+    assert np.array_equal(shared_spans._text_anchors(t, 100), whole)
+    for a, b in zip(shared_spans._text_windows(t, whole, 100), windows):
+        assert np.array_equal(a, b)
+
+
 def test_window_hash_depends_on_content_only():
     t = np.array([ord(c) for c in "xxabcabcxx"], np.uint32)
     h = shared_spans.window_hashes(t, 3)
