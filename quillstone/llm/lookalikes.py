@@ -23,16 +23,24 @@ from .tokens import written
 
 # Letters and digits that look like those of another script, by prototype.
 PROTOTYPES = {
-    # Cyrillic, Greek, Armenian, Cherokee and Coptic letters -> Latin
-    "a": "а", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳյ", "l": "ӏ", "n": "ո",
-    "o": "оοօⲟ", "p": "рⲣ", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уү",
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟⲤ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ",
-    "K": "КΚᏦ", "L": "ԼᏞ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕⲞ", "P": "РΡᏢⲢ", "Q": "Ԛ", "R": "Ꮢ", "S": "ЅՏᏚ",
-    "T": "ТΤᎢ", "U": "Ս", "V": "ᏙѴ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ΥҮ", "Z": "ΖᏃ",
+    # Cyrillic, Greek, Armenian, Cherokee, Coptic and Lisu letters -> Latin
+    "a": "аɑα", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳյ", "l": "ӏ", "n": "ո",
+    "o": "оοօⲟ", "p": "рρⲣ", "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уү",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐⲂ", "C": "СϹᏟⲤꓚ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ", "I": "ІΙӀꓲⲒ", "J": "ЈͿᎫꓙ",
+    "K": "КΚᏦꓗⲔ", "L": "ԼᏞꓡ", "M": "МΜᎷꓟⲘ", "N": "ΝꓠⲚ", "O": "ОΟՕⲞꓳ", "P": "РΡᏢⲢꓑ", "Q": "Ԛ", "R": "Ꮢꓣ", "S": "ЅՏᏚꓢ",
+    "T": "ТΤᎢꓔⲦ", "U": "Սꓴ", "V": "ᏙѴꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫ", "Y": "ΥҮꓬ", "Z": "ΖᏃꓜ",
     # Persian digits of the same shape -> Arabic
     "٠": "۰", "١": "۱", "٢": "۲", "٣": "۳", "٧": "۷", "٨": "۸", "٩": "۹",
+    # Persian and Urdu letters -> Arabic
+    "ك": "ک", "ه": "ھہە",
+    # two strokes of one vowel -> the vowel written twice (Thai, Lao)
+    "เเ": "แ", "ເເ": "ແ",
     # Katakana and Hiragana -> Han, Hiragana -> Katakana
-    "二": "ニ", "八": "ハ", "力": "カ", "夕": "タ", "工": "エ", "口": "ロ囗", "卜": "ト", "一": "ー", "ヘ": "へ", "丿": "ノ",
+    "二": "ニ", "八": "ハ", "力": "カ", "夕": "タ", "工": "エ", "口": "ロ囗", "卜": "ト", "一": "ー㇐", "ヘ": "へ", "丿": "ノ㇒", "厶": "ム", "亻": "イ",
+    # radicals and strokes that are the ideograph itself and have no decomposition
+    "西": "⻄", "见": "⻅", "贝": "⻉", "车": "⻋", "长": "⻓", "门": "⻔", "青": "⻘", "韦": "⻙", "页": "⻚", "风": "⻛", "食": "⻝", "马": "⻢",
+    "骨": "⻣", "鬼": "⻤", "鱼": "⻥", "卤": "⻧", "麦": "⻨", "黄": "⻩", "斉": "⻫", "齐": "⻬", "歯": "⻭", "竜": "⻯", "龙": "⻰", "龟": "⻱", "亀": "⻲",
+    "丨": "㇑", "丶": "㇔", "亅": "㇚",
 }
 # Kinds of compatibility decomposition that change nothing a reader sees.
 _SAME_LOOK = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
@@ -40,7 +48,7 @@ _SAME_LOOK = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolat
 _INVISIBLE = (
     (0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160),
     (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164),
-    (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A),
+    (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFFB), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A),
     (0xE0000, 0xE0FFF))
 
 
@@ -62,6 +70,15 @@ def _same_look(c: str) -> str:
 # a voiced mark stands on kana only: a Han prototype before it goes back to its kana
 _KANA = {"二": "ニ", "八": "ハ", "力": "カ", "夕": "タ", "工": "エ", "口": "ロ", "卜": "ト", "丿": "ノ"}
 _VOICED = re.compile("[" + "".join(_KANA) + "][\u3099\u309a]")
+# the Farsi yeh has the dots of the Arabic one before a letter, and none at the end
+_YEH = re.compile("\u06cc(?=[\u064b-\u065f\u0670]*[\u0620-\u064a\u066e-\u06d3])")
+_STROKE = "\u0335"
+
+
+def _stroked() -> dict[str, str]:
+    """Letters with a stroke through them and the letter with a stroke put over it, by their names."""
+    names = {unicodedata.name(chr(i), ""): chr(i) for i in range(0x2C80)}
+    return {c: names[base] + _STROKE for name, c in names.items() if name.endswith(" WITH STROKE") and (base := name.removesuffix(" WITH STROKE")) in names}
 
 
 def table() -> dict[int, str]:
@@ -71,7 +88,7 @@ def table() -> dict[int, str]:
         if 0xAC00 <= i <= 0xD7A3 or 0xD800 <= i <= 0xDFFF:
             continue  # syllables decompose by NFD
         c = chr(i)
-        if c == " " or unicodedata.category(c) == "Zs":
+        if unicodedata.category(c) == "Zs" or c == "\u2800":  # an empty Braille cell is a space
             to = " "
         else:
             to = _same_look(c)
@@ -80,6 +97,7 @@ def table() -> dict[int, str]:
     for a, b in _INVISIBLE:
         out.update(dict.fromkeys(range(a, b + 1), ""))
     alike = {x: to for to, chars in PROTOTYPES.items() for x in chars}
+    alike |= dict.fromkeys("\u0336\u0337\u0338", _STROKE) | _stroked()
     for x, to in alike.items():
         out[ord(x)] = to
     for i, to in list(out.items()):  # a decomposed character may have a prototype of its own
@@ -92,7 +110,8 @@ def skeleton(text: str | None, t: dict[int, str]) -> str | None:
     if text is None or text.isascii() and text.isprintable():
         return text
     text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text.translate(t)).translate(t))
-    return _VOICED.sub(lambda m: _KANA[m.group()[0]] + m.group()[1], text)
+    text = _VOICED.sub(lambda m: _KANA[m.group()[0]] + m.group()[1], text)
+    return _YEH.sub("\u064a", text).replace("\u06cc", "\u0649") if "\u06cc" in text else text
 
 
 def skeleton_column(text: Column) -> Column:
@@ -134,6 +153,18 @@ def same_reading_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.distinct()
 
 
+def same_reading_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, n_ids, n_texts): one row per id and reading that differing texts share.
+
+    class_id is the first id of the reading; nothing is paired, so a reading of any size is one aggregate and one join.
+    """
+    keyed = written(same_reading_groups(df, id_col, text_col))
+    ids = keyed.select("k1", "k2", "id").distinct()
+    texts = keyed.groupBy("k1", "k2").agg(F.count_distinct("text_class", "c2").alias("n_texts"), F.min("id").alias("class_id")).where("n_texts > 1")
+    sizes = ids.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_ids"))
+    return ids.join(texts.join(sizes, ["k1", "k2"]), ["k1", "k2"]).where("n_ids > 1").select("id", "class_id", "n_ids", "n_texts").distinct()
+
+
 def same_reading_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: different ids whose texts differ and read the same.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lookalikes import canonical_text, same_reading_pairs
+from . import lookalikes
+from .lookalikes import canonical_text, same_reading_classes, same_reading_pairs
 from .mixing import mix, mix_report
 from .neighbours import nearest_neighbours
 from .packing import bucket_batches, pack
@@ -134,6 +137,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_reading_pairs(_readings(spark, sf_dir), "id", "text")
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as classes: one row per id, with the first id of its reading and how many ids and texts share it."""
+    return same_reading_classes(_readings(spark, sf_dir), "id", "text")
+
+
 def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prompt and text in its consistent form."""
     return canonical_text(_readings(spark, sf_dir).distinct(), "text").select("id", "canonical_text")
@@ -170,11 +178,31 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {q.__name__: q for q in (
-        p1_tokens, p1_totals, p1_accuracy, p6_containers, p6_fill, p7_mix, p7_shares, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_canonical, p5_found, p5_share, p8_found, p8_redacted)}
+        p1_tokens, p1_totals, p1_accuracy, p6_containers, p6_fill, p7_mix, p7_shares, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_classes, p4_canonical, p5_found, p5_share, p8_found, p8_redacted)}
+
+
+def _reading_sql() -> str:
+    """CTE rd(id, text, s): the consistent form by a table of characters, NFC by the SQL engine."""
+    t = lookalikes.table()
+    chars = sorted(set(t) | {i for i in range(sys.maxunicode + 1) if unicodedata.decomposition(chr(i)) and not unicodedata.decomposition(chr(i)).startswith("<")})
+    rows = ", ".join(f"({i}, '{to}')" for i in chars if "'" not in (to := lookalikes.skeleton(chr(i), t)) and chr(i) != "\u06cc" and "\0" not in to)
+    kana = "".join(f"regexp_replace(" for _ in lookalikes._KANA)
+    voiced = "".join(f", '{han}([\u3099\u309a])', '{k}\\1', 'g')" for han, k in lookalikes._KANA.items())
+    return f"""tx AS (SELECT DISTINCT packet_row_id AS id, prompt AS text FROM eval_packet UNION SELECT DISTINCT row_id, text FROM corpus_rows),
+        mp(cp, p) AS (VALUES {rows}),
+        ch AS (SELECT text, unnest(string_split(text, '')) AS c, unnest(range(1, len(string_split(text, '')) + 1)) AS i FROM (SELECT DISTINCT text FROM tx WHERE text IS NOT NULL)),
+        sk AS (SELECT text, string_agg(coalesce(p, c), '' ORDER BY i) AS s FROM ch LEFT JOIN mp ON cp = unicode(c) GROUP BY text),
+        yh AS (SELECT text, {kana}nfc_normalize(replace(regexp_replace(s, '\u06cc([\u064b-\u065f\u0670]*[\u0620-\u064a\u066e-\u06d3])', '\u064a\\1', 'g'), '\u06cc', '\u0649')){voiced} AS s FROM sk),
+        rd AS (SELECT id, text, CASE WHEN text = '' THEN '' ELSE nfc_normalize(yh.s) END AS s FROM tx LEFT JOIN yh USING (text))"""
 
 
 def oracle_sql() -> dict:
+    reading = _reading_sql()
     return {
+        "p4_found": f"""WITH {reading} SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM rd a JOIN rd b ON a.s = b.s AND a.id < b.id AND a.text <> b.text""",
+        "p4_classes": f"""WITH {reading}, g AS (SELECT s, min(id) AS class_id, count(DISTINCT id) AS n_ids, count(DISTINCT text) AS n_texts FROM rd WHERE text IS NOT NULL AND id IS NOT NULL GROUP BY s)
+            SELECT DISTINCT id, class_id, n_ids, n_texts FROM rd JOIN g USING (s) WHERE n_ids > 1 AND n_texts > 1""",
+        "p4_canonical": f"""WITH {reading} SELECT id, s AS canonical_text FROM rd""",
         "p2_found": "SELECT DISTINCT row_id FROM corpus_rows WHERE length(text) > 2000",
         # one row per record and spans of 100 characters, counted by SQL itself
         "p5_found": """

@@ -157,12 +157,14 @@ T = lookalikes.table()
 
 @pytest.mark.parametrize("a, b", [
     ("ＡＢＣ　１２", "ABC 12"), ("ｶﾞﾆ", "ガニ"), ("é", "é"), ("가", "가"), ("ﻻ", "لا"), ("ﬁ", "fi"), ("⼈", "人"), ("海", "海"), ("a​b﻿", "ab"),
-    ("a b", "a b"), ("рaypаl", "paypal"), ("Αθ", "Aθ"), ("タクシ一", "タクシー"), ("۳", "٣"), (" ", " "), ("ɡ", "g"), ("力゙", "ガ")])
+    ("a b", "a b"), ("рaypаl", "paypal"), ("Αθ", "Aθ"), ("タクシ一", "タクシー"), ("۳", "٣"), (" ", " "), ("ɡ", "g"), ("力゙", "ガ"), ("ک", "ك"), ("ꓚꓮꓔ", "CAT"), ("đ", "d\u0335"), ("ø", "o\u0338"), ("แ", "เเ"), ("⻔", "门"), ("㇐", "一"), ("یک", "يك"), ("علی", "على"), ("ہ", "ه"),
+    ("a\u2800b", "a b")])
 def test_reads_the_same(a, b):
     assert lookalikes.skeleton(a, T) == lookalikes.skeleton(b, T)
 
 
-@pytest.mark.parametrize("a, b", [("A", "a"), ("1", "l"), ("0", "O"), ("é", "e"), ("1", "¹"), ("1", "①"), ("a b", "ab"), ("a.", "a"), ("か", "が"), ("٤", "۴"), ("a  b", "a b")])
+@pytest.mark.parametrize("a, b", [("A", "a"), ("1", "l"), ("0", "O"), ("é", "e"), ("1", "¹"), ("1", "①"), ("a b", "ab"), ("a.", "a"), ("か", "が"), ("٤", "۴"), ("a  b", "a b"), ("علی", "علي"), ("ى", "ي"), ("ø", "o"),
+                                  ("đ", "d"), ("ı", "i"), ("۴", "٤")])
 def test_reads_differently(a, b):
     assert lookalikes.skeleton(a, T) != lookalikes.skeleton(b, T)
 
@@ -180,6 +182,10 @@ def test_pairs_that_read_the_same(spark):
     got = {tuple(r) for r in lookalikes.same_reading_pairs(texts(spark, rows), "id", "text").collect()}
     assert got == {("a", "b"), ("b", "c"), ("e", "f"), ("g", "h")}
     assert lookalikes.same_reading_pairs(texts(spark, []), "id", "text").count() == 0
+    assert lookalikes.same_reading_classes(texts(spark, []), "id", "text").count() == 0
+    classes = {r.id: (r.class_id, r.n_ids, r.n_texts) for r in lookalikes.same_reading_classes(texts(spark, rows), "id", "text").collect()}
+    assert set(classes) == {i for pair in got for i in pair}
+    assert all(classes[a][0] == classes[b][0] for a, b in got)
     assert {r.id: r.canonical_text for r in lookalikes.canonical_text(texts(spark, rows[:4]), "text").collect()}["d"] is None
 
 
