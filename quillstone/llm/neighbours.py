@@ -1,8 +1,10 @@
 """Most similar vectors for every vector (cosine), through robust-pruned graphs.
 
-Large groups are cut into shards around centroids fitted on a bounded sample;
-small groups share shards.  One task builds the proximity graph of one shard and
-answers, by beam search, the vectors of the shard and those that probe it.
+Every group is cut into shards of about shard_rows around centroids fitted on a bounded
+sample; groups of less share tasks.  One task builds the proximity graph of one shard and
+answers, by beam search, the vectors at home in it and those that look in from outside:
+a vector looks into every shard whose border is at most `margin` away from it, however
+many these are (into all of its group without a margin).  A near pair on both sides of a border is found from either side.
 
 Edge cases: vectors that are null, of another length, with a null, NaN or infinite
 element, or all zero are unusable and take no part.  Null group columns form a group
@@ -46,38 +48,58 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _centroids(x: np.ndarray, count: int, rows_each: float, limit: float, seed: int = 11) -> np.ndarray:
-    """Spherical k-means on a sample; cells that hold more than `limit` rows are cut once more."""
-    rng = np.random.default_rng(seed)
-    x = x.astype(np.float32)
-    c = x[rng.permutation(len(x))[: min(count, len(x))]]
+def _centroids(x: np.ndarray, rows_each: float, limit: float, seed: int = 11) -> np.ndarray:
+    """Spherical k-means on a sample, by levels of at most 64 cells, until a cell stands for `limit` rows at most.
+
+    rows_each: how many rows a sampled one stands for.
+    """
+    count = min(64, len(x), int(np.ceil(len(x) * rows_each / limit)))
+    if count < 2:
+        return _unit(x.mean(axis=0, dtype=np.float64, keepdims=True) + 1e-12).astype(np.float32)
+    c = x[np.random.default_rng(seed).permutation(len(x))[:count]]
     for _ in range(6):
         own = np.concatenate([(x[lo: lo + 4096] @ c.T).argmax(axis=1) for lo in range(0, len(x), 4096)])
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(norm > 0, total / np.maximum(norm, 1e-20), c)
-    size = np.bincount(own, minlength=len(c)) * rows_each
-    parts = [c[size <= limit]]
-    for cell in np.flatnonzero(size > limit):
-        inside = x[own == cell]
-        more = min(len(inside), int(np.ceil(size[cell] / limit * 2)))
-        parts.append(_centroids(inside, more, rows_each, np.inf, seed + 1) if more > 1 else c[cell: cell + 1])
-    return np.concatenate(parts)
+    size = np.bincount(own, minlength=count)
+    if size.max() == len(x):  # copies of one vector can't be told apart
+        return c[size > 0]
+    return np.concatenate([
+        c[i: i + 1] if size[i] * rows_each <= 1.5 * limit else _centroids(x[own == i], rows_each, limit, seed + 1) for i in np.flatnonzero(size)])
+
+
+def _shards_of(x: np.ndarray, c: np.ndarray, margin: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, home): the shard of the nearest centroid, and those whose border is at most `margin` away."""
+    sims = x @ c.T
+    home = sims.argmax(axis=1)
+    if margin is None:
+        r = np.repeat(np.arange(len(x)), len(c))
+        shard = np.tile(np.arange(len(c)), len(x))
+        return r, shard, shard == home[r]
+    between = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 0))  # distance of unit centroids
+    near = sims[np.arange(len(x)), home][:, None] - sims <= margin * between
+    near[np.arange(len(x)), home] = True
+    r, shard = np.nonzero(near)
+    return r, shard, shard == home[r]
 
 
 def nearest_neighbours(
     df: DataFrame, id_col: str, vec_col: str, group_cols: list[str], *, tag_col: str | None = None, k: int = 5,
     min_cosine: float | None = None, dim: int = 48, degree: int = 32, beam: int = 48, search_beam: int = 96,
-    shard_rows: int = 64_000, probes: int | None = None, sample_per_shard: int = 512, max_shards: int = 20_000,
+    shard_rows: int = 16_000, margin: float | None = None, sample_per_shard: int = 128, max_shards: int = 8192,
 ) -> DataFrame:
     """(grp, id, neighbour, neighbour_tag, cosine, rank): at most k neighbours of each usable vector.
 
     The driver holds sample_per_shard rows for each of at most max_shards shards while it
-    fits the centroids (the sample is bounded by these two parameters); the centroids, at
-    most max_shards vectors, are what tasks receive.  Every row is indexed.  A vector is
-    looked up in every shard of its group, so the cut into shards loses no neighbour; with
-    probes, only in its own shard and in the probes - 1 next ones.
+    fits the centroids (the sample is bounded by these two parameters); the centroids, about
+    max_shards vectors, are what tasks receive.  Every row is indexed.  Past max_shards *
+    shard_rows rows the shards grow instead of their number.  margin is in units of the
+    distance between unit vectors: a pair at distance d that a border separates has a side
+    at most d / 2 away from it, and far less in most directions.  Without one, every vector
+    looks into every shard of its group.  With min_cosine, insertions
+    into a graph are the searches of the vectors at home, and search_beam serves those from outside.
     """
     spark = df.sparkSession
     grp: Column = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in group_cols])
@@ -90,7 +112,7 @@ def nearest_neighbours(
     total, groups = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
     rows = max(shard_rows, -(-total // max_shards))
-    large = {r.grp: r.n for r in sizes.where(F.col("n") > rows * 5 // 4).collect()}  # at most total / rows
+    large = {r.grp: r.n for r in sizes.where(F.col("n") > rows).collect()}  # at most total / rows
     model: dict[str, tuple[int, np.ndarray]] = {}
     shards = 0
     if large:
@@ -102,16 +124,16 @@ def nearest_neighbours(
         )
         names = np.array(sample["grp"].to_pylist(), dtype=object)
         x, at = _matrix(sample["vec"], dim)
-        x = _unit(x) if len(x) else x
+        x = _unit(x).astype(np.float32) if len(x) else x
         for name in sorted(large):
             own = x[names[at] == name]
-            if len(own) < 2:
+            if len(own) < 2:  # next to no usable vectors
                 continue
-            c = _centroids(own, -(-large[name] // rows), large[name] / len(own), 1.5 * rows)
+            c = _centroids(own, 1 / share, rows)
             model[name] = (shards, c)
             shards += len(c)
     rest = total - sum(large[n] for n in model)
-    small = max(1, -(-rest * 4 // rows), min(groups - len(model), spark.sparkContext.defaultParallelism))
+    small = max(1, min(-(-rest // rows), groups - len(model)))
     n_parts = shards + small
     held = spark.sparkContext.broadcast(model)
 
@@ -169,18 +191,23 @@ def nearest_neighbours(
             for name in sorted(set(names.tolist())):
                 mine = np.flatnonzero(names == name)
                 start, c = held.value.get(name, (shards + zlib.crc32(name.encode()) % small, None))
-                m = 1 if c is None else len(c) if probes is None else min(max(1, probes), len(c))
-                step = max(1, (1 << 22) // m)
+                step = 4096 if c is None else max(1, (1 << 20) // len(c))
                 for lo in range(0, len(mine), step):
                     r = mine[lo: lo + step]
-                    near = np.zeros((len(r), 1), np.int64) if c is None else np.argsort(-(x[r] @ c.T), axis=1, kind="stable")
-                    raw = np.ascontiguousarray(x[r])
-                    offsets = np.arange(len(r) + 1, dtype=np.int32) * (dim * 4)
-                    vecs = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-                    for p in range(m):  # a batch each, however many shards there are
+                    if c is None:
+                        shard, home = np.zeros(len(r), np.int64), np.ones(len(r), bool)
+                    else:
+                        row, shard, home = _shards_of(x[r], c, margin)
+                        r = r[row]
+                    for at_ in range(0, len(r), 4096):  # batches of one size, however many shards are looked into
+                        part = slice(at_, at_ + 4096)
+                        raw = np.ascontiguousarray(x[r[part]])
+                        n = len(raw)
+                        offsets = np.arange(n + 1, dtype=np.int32) * (dim * 4)
+                        vecs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
                         yield pa.RecordBatch.from_arrays([
-                            pa.array((start + near[:, p]).astype(np.int32)), pa.array(np.full(len(r), p == 0)), pa.array(names[r], pa.string()),
-                            pa.array(ids[r]), pa.array(tags[r], pa.string()), pa.nulls(len(r), pa.int64()), vecs,
+                            pa.array((start + shard[part]).astype(np.int32)), pa.array(home[part]), pa.array(names[r[part]], pa.string()),
+                            pa.array(ids[r[part]]), pa.array(tags[r[part]], pa.string()), pa.nulls(n, pa.int64()), vecs,
                         ], names=["shard", "home", "grp", "id", "tag", "other", "vec"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +238,8 @@ def nearest_neighbours(
         ids = t["id"].to_numpy()
         tags, names = np.array(t["tag"].to_pylist(), dtype=object), np.array(t["grp"].to_pylist(), dtype=object)
 
-        def pick(name, q_id, q_vec, r, to):
-            """The k best of the candidates `to` of queries r, by exact cosine, then id."""
+        def pick(name, q_id, q_vec, r, to, q_tag=None):
+            """The k best of the candidates `to` of queries r, by exact cosine, then id; with q_tag also the way back."""
             real = (to >= 0) & (ids[np.maximum(to, 0)] != q_id[r])
             r, to = r[real], to[real]
             a, b = q_vec[r].astype(np.float64), vec[to].astype(np.float64)
@@ -220,6 +247,10 @@ def nearest_neighbours(
             if min_cosine is not None:
                 ok = cos >= min_cosine
                 r, to, cos = r[ok], to[ok], cos[ok]
+            if q_tag is not None and len(r):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(r), pa.string()), pa.array(ids[to]), pa.array(q_id[r]), pa.array(q_tag[r], pa.string()), pa.array(cos)],
+                    names=["grp", "id", "neighbour", "neighbour_tag", "cosine"])
             by = np.lexsort((ids[to], -cos, r))
             r, to, cos = r[by], to[by], cos[by]
             if len(r):
@@ -273,10 +304,12 @@ def nearest_neighbours(
         for b in chain(late, batches):  # a shard of a large group holds nothing else
             q_vec = np.frombuffer(b"".join(b.column("vec").to_pylist()), np.float32).reshape(-1, dim)
             q_id = b.column("id").to_numpy()
+            q_tag = None if min_cosine is None else np.array(b.column("tag").to_pylist(), dtype=object)
             for lo in range(0, len(q_id), 4096):
                 v = q_vec[lo: lo + 4096]
                 cand = member[graph.search(v, search_beam)[1][:, : k + 1]].reshape(len(v), -1)
-                yield from pick(name, q_id[lo: lo + 4096], v, np.repeat(np.arange(len(v)), cand.shape[1]), cand.ravel())
+                yield from pick(name, q_id[lo: lo + 4096], v, np.repeat(np.arange(len(v)), cand.shape[1]), cand.ravel(),
+                                None if q_tag is None else q_tag[lo: lo + 4096])
 
     routed = base.mapInArrow(route, _ROUTED).repartitionById(n_parts, F.col("shard"))
     if shards:

@@ -79,13 +79,14 @@ class ProximityGraph:
 
         A point with so many partners that a beam may not have held them all is looked up
         again in the finished graph, with a beam that is doubled until it ends below min_sim
-        (or holds eight times as many, far more than the few best that are asked for).
+        or holds eight times as many.  No result depends on that end: only the few nearest
+        partners of a point are asked for, and they head its beam.
         """
         a = np.concatenate([x for x, _ in self.met]) if self.met else np.zeros(0, np.int32)
         b = np.concatenate([y for _, y in self.met]) if self.met else np.zeros(0, np.int32)
         crowded = np.flatnonzero(np.bincount(np.concatenate([a, b]), minlength=self.n) * 2 >= self.beam)
-        wide = 2 * self.beam
         more = [(a, b)]
+        wide = 2 * self.beam
         while len(crowded):
             sims, ids = self.search(self.x[crowded], wide, block=crowded.astype(np.int32))
             r, c = np.nonzero(sims >= self.min_sim)
@@ -172,7 +173,7 @@ class ProximityGraph:
                     col = np.arange(wide)
                     take = s[p][:, None] + np.minimum(col, c[p][:, None] - 1)
                     new = np.where(col < c[p][:, None], src[take], self.n).astype(np.int32)
-                    if wide > 96:  # a hub: its most similar newcomers are enough for a prune
+                    if wide > 96:  # a hub keeps `degree` edges anyway, out of its nearest; no result is dropped here
                         sims = np.matmul(self.x[new], self.x[t[p]][:, :, None])[:, :, 0]
                         sims[new == self.n] = -2
                         new = np.take_along_axis(new, np.argpartition(-sims, 95, axis=1)[:, :96], 1)

@@ -29,7 +29,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of which at least one has the other among its 5 nearest, cosine 0.9 or more."""
     near = nearest_neighbours(
         _table(spark, sf_dir, "activations"), "vec_id", "h", ["model_slug", "layer"],
-        min_cosine=0.9, degree=24, beam=24, search_beam=32)
+        min_cosine=0.9, degree=16, beam=24, search_beam=12, shard_rows=4000, margin=0.06)
     return near.select(
         F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
 
@@ -37,7 +37,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every usable vector, with their row_id."""
     near = nearest_neighbours(
-        _table(spark, sf_dir, "activations"), "vec_id", "h", ["model_slug", "layer"], tag_col="row_id")
+        _table(spark, sf_dir, "activations"), "vec_id", "h", ["model_slug", "layer"], tag_col="row_id",
+        search_beam=64, margin=0.25)
     return near.select(
         F.col("id").alias("vec_id"), "rank", F.col("neighbour").alias("neighbour_vec_id"),
         F.col("neighbour_tag").alias("neighbour_row_id"), "cosine")

@@ -101,14 +101,14 @@ def test_neighbours_with_shards(spark):
     bad = [(9001, "b", None, "", "", ""), (9002, "b", [0.0] * 48, "", "", ""), (9003, "b", [1.0] * 47, "", "", ""), (9004, "b", [float("nan")] + [1.0] * 47, "", "", ""),
            (9005, "b", [float("inf")] + [1.0] * 47, "", "", ""), (9006, "b", [None] + [1.0] * 47, "", "", "")]
     df = vectors(spark, rows + bad)
-    got = neighbours.nearest_neighbours(df, "vec_id", "h", ["grp2"], shard_rows=150, probes=4).collect()
+    got = neighbours.nearest_neighbours(df, "vec_id", "h", ["grp2"], shard_rows=150, margin=0.25).collect()
     assert {r.id for r in got} == set(range(1200))
     hit = 0
     for lo in (0, 600):
         want = true_neighbours(x[lo: lo + 600], 5)[0]
         for i in range(600):
             hit += len({r for r in want[i] + lo} & {r.neighbour for r in got if r.id == lo + i}) if i % 20 == 0 else 0
-    assert hit / (60 * 5) >= 0.75  # four of some four to eight shards, of data without structure
+    assert hit / (60 * 5) >= 0.9  # of data without structure
     whole = neighbours.nearest_neighbours(df, "vec_id", "h", ["grp2"]).collect()
     by = {}
     for r in whole:
