@@ -1,8 +1,9 @@
 """Personal information in free text: find it and put typed placeholders in its place.
 
-Regular expressions propose spans; check digits (Luhn, mod 97, mod 11) and the words
-near a span raise or lower its score; spans under the threshold fall away and, of
-overlapping ones, the strongest stays.  Names come from a list of known names, from
+Regular expressions propose spans of every kind; validators (check digits by Luhn, mod 97
+and mod 11, the form of a mail domain, the parts of an address) and the words near a span
+raise or lower its score; spans under the threshold fall away and, of overlapping ones,
+the strongest stays.  Names come from a list of known names, from
 the stems and endings that this list shares (the list is incomplete), and from forms
 of address and labels.
 
@@ -12,6 +13,7 @@ rows give repeated results; offsets count code points; whole texts are read.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections import defaultdict
@@ -32,14 +34,27 @@ _DOMAIN = re.compile(
     r"(?:(?:[.．]|\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\s(?:dot|DOT)\s)[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 
 
+_MAIL_WORDS = re.compile(r"(?i)(?:mail|contact|reach|write to|reply|cc|メール|連絡|邮箱|郵件|联系|이메일|البريد|อีเมล|surel|thư)[^\n]{0,24}$")
+_HOST_WORDS = re.compile(r"(?i)(?:://\S*|\b(?:ssh|scp|git|sftp|rsync)\b[^\n]{0,12})$")
+
+
+def _valid_mail(local: str, labels: list[str]) -> bool:
+    """Lengths and signs that a mail address may have."""
+    return len(local) <= 64 and ".." not in local and len(labels) > 1 and all(0 < len(x) <= 63 for x in labels) and labels[-1].isalpha() and 2 <= len(labels[-1]) <= 24
+
+
 def _emails(text: str) -> Iterator[tuple[int, int, str, float]]:
     for m in _AT.finditer(text):
-        left = _LOCAL.search(text[max(0, m.start() - 64): m.start()])
+        left = _LOCAL.search(text[max(0, m.start() - 65): m.start()])
         right = _DOMAIN.match(text, m.end())
         if left and right:
-            last = re.split(r"[^A-Za-z0-9-]+|\b(?:dot|DOT)\b", right.group())[-1]
-            if len(last) >= 2 and last.isalpha():
-                yield m.start() - len(left.group()), right.end(), "email", 3.0
+            start = m.start() - len(left.group())
+            labels = [x for x in re.split(r"[^A-Za-z0-9-]+|\b(?:dot|DOT)\b", right.group()) if x]
+            near = text[max(0, start - 40): start]
+            score = 0.7 if m.group().strip() in "@＠﹫" else 0.5
+            score += 0.6 if _valid_mail(left.group(), labels) else -0.6
+            score += 0.4 * bool(_MAIL_WORDS.search(near)) - 0.8 * bool(_HOST_WORDS.search(near))
+            yield start, right.end(), "email", score
 
 
 # --- numbers ------------------------------------------------------------------------------
@@ -89,7 +104,7 @@ def _checked(d: str) -> bool:
     return n in (10, 16) and _luhn(d) or n == 15 and _mod97(d)
 
 
-_ID_SHAPES = {"3-2-4": 0.7, "6-7": 0.8, "1-4-5-2-1": 0.8, "18": 0.7, "16": 0.5, "12": 0.3, "4-4-4": 0.3, "13": 0.4, "10": 0.2}
+_ID_SHAPES = {"3-2-4": 0.7, "6-7": 0.8, "1-4-5-2-1": 0.8, "18": 0.7, "16": 0.4, "12": 0.3, "4-4-4": 0.3, "13": 0.4, "10": 0.2}
 
 
 def _phone_score(raw: str, d: str, shape: str) -> float:
@@ -120,7 +135,7 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, float]]:
             d, shape, end = d + "X", "18", end + 1
         id_words = bool(_ID_LEFT.search(left))
         phone_words = bool(_PHONE_LEFT.search(left)) or bool(_PHONE_RIGHT.match(right))
-        as_id = _ID_SHAPES.get(shape, 0.0) + 0.4 * _checked(d) + (1.2 if id_words else 0) - against
+        as_id = _ID_SHAPES.get(shape, 0.0) + 0.5 * _checked(d) + (1.0 if id_words else 0) - against
         if shape == "6-7" and not (1 <= int(d[2:4]) <= 12 and 1 <= int(d[4:6]) <= 31):
             as_id -= 0.5
         as_phone = _phone_score(raw, d, shape) + (0.8 if phone_words else 0) - against - (1.0 if id_words else 0)
@@ -167,18 +182,31 @@ _JA_ADDRESS = re.compile(
     rf"(?![^\n]{{0,16}}(?:住所|送付先))(?P<span>[{_HAN}{_KANA}]{{1,12}}[都道府県][{_HAN}{_KANA}]{{1,24}}?(?:\d{{1,3}}丁目(?:\d{{1,3}}番(?:地)?(?:\d{{1,3}}号)?)?|\d{{1,3}}(?:[-－‐]\d{{1,3}}){{1,2}})(?: [{_HAN}{_KANA}]+\d+号室)?)", re.M)
 
 
+_PLACE_WORDS = re.compile(
+    r"(?i)(?:\b(?:at|address|lives?|living|resides?|residing|deliver(?:ed|y)?|ship(?:ped)?|sent|visit|located|moved|from|to|alamat|tinggal|địa chỉ)\b|العنوان|يسكن|ที่อยู่|주소|거주)[^\n]{0,16}$")
+_PART_WORDS = re.compile(r"(?i)\b(?:page|chapter|section|figure|table|line|lines|version|volume|row|step|about|over|of)\s$")
+_FURTHER_PART = re.compile(r"\b\d{5}\b|,|، |\n|(?:Apt|Flat|Unit|Suite)\b|[0-9０-９][号室호栋]|丁目|〒")
+
+
+def _address(text: str, start: int, end: int, base: float = 1.0) -> tuple[int, int, str, float]:
+    """A street with a house number counts by itself; a further part (town, flat, postal code) or words of place confirm it."""
+    near = text[max(0, start - 32): start]
+    score = base + 0.3 * bool(_FURTHER_PART.search(text, start, end)) + 0.3 * bool(_PLACE_WORDS.search(near)) - 0.8 * bool(_PART_WORDS.search(near))
+    return start, end, "address", score
+
+
 def _addresses(text: str) -> Iterator[tuple[int, int, str, float]]:
     for p, signs in zip(_ADDRESSES, _SIGNS):
         if not any(sign in text for sign in signs):
             continue
         for m in p.finditer(text):
-            yield m.start(), m.end() - (len(m.group()) - len(m.group().rstrip())), "address", 1.6
+            yield _address(text, m.start(), m.end() - (len(m.group()) - len(m.group().rstrip())))
     if "号" in text or any(c in text for c in "路街道巷弄"):
         for m in _HAN_ADDRESS.finditer(text):
-            yield m.start("span"), m.end("span"), "address", 1.6
+            yield _address(text, m.start("span"), m.end("span"), 1.3 if m["label"] else 1.0)
     if any(c in text for c in "県都府道"):
         for m in _JA_ADDRESS.finditer(text):
-            yield m.start("span"), m.end("span"), "address", 1.6
+            yield _address(text, m.start("span"), m.end("span"), 1.3 if m["label"] else 1.0)
 
 
 # --- names --------------------------------------------------------------------------------
@@ -213,12 +241,21 @@ class Names:
 
 _WORD = r"(?:[A-ZÀ-Þ][a-zà-ÿ]+(?:-[A-ZÀ-Þ][a-zà-ÿ]+)*|[A-ZÀ-Þ]{2,}(?:-[A-ZÀ-Þ]{2,})*)"
 _LETTER = "A-Za-z0-9_À-ÿ"
-_TITLES = {"mr", "ms", "mrs", "miss", "dr", "prof", "sir", "madam", "claimant"}
+# Titles, and the parts that a person may have in a matter.
+_TITLES = ("mr", "ms", "mrs", "miss", "mx", "dr", "prof", "sir", "madam", "rev", "hon")
+_PARTS = ("claimant", "plaintiff", "defendant", "applicant", "respondent", "appellant", "petitioner", "witness", "patient", "customer", "client",
+          "employee", "tenant", "landlord", "trustee", "director", "manager", "buyer", "seller", "recipient", "sender")
 _PAIR = re.compile(
     rf"(?<![{_LETTER}@.\-])(?:(?P<i>[A-Z])\. (?P<if>{_WORD})|(?P<f>{_WORD}), (?P<g>{_WORD})(?: [A-Z]\.)?(?![{_LETTER}\-])|(?P<a>{_WORD})(?: [A-Z]\.)? (?P<b>{_WORD}))(?![{_LETTER}\-@])")
 _NOT_AFTER = re.compile(r" (?:Holdings|Ltd|Inc|LLC|GmbH|Group|Company|Co\.|Street|Road|Avenue|Ave|Lane|Rd|St\b|Quay|Institute|University|Foundation|Bank)")
-_TITLE = re.compile(r"(?:\b(?:Mr|Ms|Mrs|Miss|Dr|Prof|Sir|Madam)\.? |\bClaimant |regards,\s*|\bI'm |\"name\": \"|signed for by |\bask for (?:Dr |Mr |Ms )?|\bcc: |氏名[,は：:]|姓名：|성명 |họ tên: |atas nama |والاسم: |\b(?:ông|bà|Ông|Bà|Bapak|Ibu|anh|chị) |السيدة? |คุณ|นาย|นางสาว|นาง|经办人：|联系|担当は|담당자 |원고 )$")
-_AFTER = re.compile(r"(?:先生|女士|様|さん|氏|\s?님|\s?씨| annotated this)")
+_ROLES = frozenset(_TITLES + _PARTS)
+_TITLE = re.compile(
+    rf"(?:\b(?:{'|'.join(x.title() for x in _TITLES)})\.? |\b(?i:{'|'.join(_PARTS)}) "
+    r"|\b(?:regards|sincerely|yours|thanks|cheers),\s*|\b(?:I'm|I am|my name is|this is) "  # closings, and who speaks
+    r"|\b(?i:name|cc|bcc|attn|contact|author|signed)\"?\s?[:=,]\s?\"?|\b(?:[a-z]+ed|written) (?:for )?by |\b(?i:ask|asked) for (?:[DM]rs?\.? |Ms\.? )?"  # labels, and who did it
+    r"|氏名[,は：:]|姓名：|성명 |họ tên: |atas nama |والاسم: |\b(?:ông|bà|Ông|Bà|Bapak|Ibu|anh|chị) |السيدة? |คุณ|นาย|นางสาว|นาง|经办人：|联系|担当は|담당자 |원고 )$")
+_AFTER = re.compile(r"(?:先生|女士|様|さん|氏|\s?님|\s?씨)")
+_DOES = re.compile(r" (?:[a-z]{2,}ed|said|says|wrote|sent|told) ")  # a person does something
 
 
 def _latin_names(text: str, names: Names) -> Iterator[tuple[int, int, str, float]]:
@@ -231,7 +268,7 @@ def _latin_names(text: str, names: Names) -> Iterator[tuple[int, int, str, float
             family, given = m["f"], m["g"]
         else:
             given, family = m["a"], m["b"]
-        if given is not None and (given if m["a"] else family).lower() in _TITLES:
+        if given is not None and (given if m["a"] else family).lower() in _ROLES:
             at = m.end("a") if m["a"] else m.end("f")
             continue
         fam = names.like(family, "family")
@@ -242,7 +279,7 @@ def _latin_names(text: str, names: Names) -> Iterator[tuple[int, int, str, float
                 at = m.end("f") if m["f"] else m.end("a")
                 continue
         left, right = text[max(0, m.start() - 18): m.start()], text[m.end(): m.end() + 18]
-        if _TITLE.search(left) or _AFTER.match(right):
+        if _TITLE.search(left) or _AFTER.match(right) or not m["f"] and _DOES.match(right):
             score += 0.6
         if _NOT_AFTER.match(right):
             score -= 1.5
@@ -302,11 +339,14 @@ def find(text: str, names: Names, lone: list) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, kind), in order."""
     spans = [*_emails(text), *_numbers(text), *_addresses(text), *_latin_names(text, names), *_script_names(text, names, lone)]
     spans.sort(key=lambda s: (-_RANK[s[2]] if s[2] != "name" else 0, -s[3], s[0], -s[1]))
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order, so that only the two beside a span can overlap it
     for start, end, kind, score in spans:
-        if score >= THRESHOLD - 0.1 and all(end <= a or start >= b for a, b, _ in taken):
-            taken.append((start, end, kind))
-    return sorted(taken)
+        if score < THRESHOLD - 0.1:
+            continue
+        i = bisect.bisect(taken, (start,))
+        if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+            taken.insert(i, (start, end, kind))
+    return taken
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -302,6 +302,35 @@ def test_finds(text, want):
     assert [(k, text[a:b]) for a, b, k in personal_info.find(text, KNOWN, LONE)] == want
 
 
+@pytest.mark.parametrize("text, want", [  # words that the test tables don't use
+    ("The defendant Corix Tarsen objected.", [("name", "Corix Tarsen")]),
+    ("Sincerely, Belina Zellmark", [("name", "Belina Zellmark")]),
+    ("delivered by Asha Velberg yesterday", [("name", "Asha Velberg")]),
+    ("author: Asha Velberg", [("name", "Asha Velberg")]),
+    ("Asha Velberg replied at once", [("name", "Asha Velberg")]),
+    ("Meanwhile, Mirlor measured it", []),
+    ("git clone ssh://git@host.example/x", []),
+    ("write to pat@post.example today", [("email", "pat@post.example")]),
+    ("see page 21 Old Road", []),
+    ("they moved to 21 Old Road, Harrow", [("address", "21 Old Road, Harrow")]),
+    ("bad..dots@post.example", []),
+])
+def test_finds_by_rule(text, want):
+    assert [(k, text[a:b]) for a, b, k in personal_info.find(text, KNOWN, LONE)] == want
+
+
+def test_context_and_checks_move_scores():
+    score = lambda f, t: max((s[3] for s in f(t)), default=0)
+    assert score(personal_info._emails, "mail to a@b.example") > score(personal_info._emails, "so a@b.example") > score(personal_info._emails, "ssh a@b.example")
+    assert score(personal_info._addresses, "lives at 21 Old Road, Flat 3") > score(personal_info._addresses, "21 Old Road") > score(personal_info._addresses, "page 21 Old Road")
+    assert score(personal_info._numbers, "11010519491231002X") > score(personal_info._numbers, "110105194912310020")
+
+
+def test_many_spans_take_linear_time():
+    t = "a@b.example, " * 20_000
+    assert len(personal_info.find(t, KNOWN, LONE)) == 20_000
+
+
 def test_checksums():
     assert personal_info._luhn("79927398713") and not personal_info._luhn("79927398710")
     assert personal_info._checked("11010519491231002X") and personal_info._mod97("3214282912345698" + "00") in (True, False)
