@@ -14,10 +14,10 @@ from .projection import project_top_k
 from .ranking import minibatches
 
 
-def encode(vectors: DataFrame, encoder: DataFrame, k: int, digits: int | None = 9) -> DataFrame:
-    """(key, feature_idx, z): the k largest of relu(w.x + b); zeros are left out."""
-    code = project_top_k(vectors, encoder, k, bias=True, relu=True, digits=digits)
-    return code.select("key", F.col("id").alias("feature_idx"), F.col("value").alias("z"))
+def encode(vectors: DataFrame, encoder: DataFrame, k: int, digits: int | None = 9, carry: list[str] = ()) -> DataFrame:
+    """(key, carry, feature_idx, z): the k largest of relu(w.x + b); zeros are left out."""
+    code = project_top_k(vectors, encoder, k, bias=True, relu=True, digits=digits, carry=carry)
+    return code.select("key", *carry, F.col("id").alias("feature_idx"), F.col("value").alias("z"))
 
 
 def reconstruction_error(vectors: DataFrame, code: DataFrame, decoder: DataFrame) -> DataFrame:
@@ -38,12 +38,22 @@ def dead_features(fires: DataFrame, features: DataFrame, steps: DataFrame, windo
 
     fires: (step, feature_idx); a feature that never fired counts from step -1.
     """
-    last = F.max("fired").over(Window.partitionBy("feature_idx").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    grid = steps.crossJoin(F.broadcast(features)).join(
-        fires.select("step", "feature_idx").distinct().withColumn("fired", F.col("step")), ["step", "feature_idx"], "left")
-    seen = grid.withColumn("last", F.coalesce(last, F.lit(-1)))
-    dead = F.col("step") - F.col("last") > window
-    return seen.groupBy("step").agg(F.count_if(dead).alias("n_dead"), F.avg(dead.cast("double")).alias("dead_ratio"))
+    once = fires.select("step", "feature_idx").distinct()
+    after = F.lead("step").over(Window.partitionBy("feature_idx").orderBy("step"))
+    # a firing keeps its feature alive up to the end of its window or its next firing
+    alive = once.withColumn("end", F.least(F.col("step") + window + 1, F.coalesce(after, F.col("step") + window + 1)))
+    early = steps.agg(F.min("step").alias("step")).where(F.lit(window) > 0).crossJoin(F.broadcast(features)).select(
+        F.lit(-1).cast("bigint").alias("step"), F.lit(window).cast("bigint").alias("end"), "feature_idx")
+    first = once.groupBy("feature_idx").agg(F.min("step").alias("first"))
+    early = early.join(first, "feature_idx", "left").select("step", F.least(F.col("end"), F.coalesce("first", "end")).alias("end"))
+    change = lambda df, c, by: df.select(F.col(c).cast("bigint").alias("step"), F.lit(by).alias("d"), F.lit(False).alias("real"))
+    spans = alive.select("step", "end").unionByName(early)
+    moved = change(spans, "step", 1).unionByName(change(spans, "end", -1)).unionByName(steps.select(F.col("step").cast("bigint"), F.lit(0).alias("d"), F.lit(True).alias("real")))
+    # one row per step from here on
+    running = moved.groupBy("step").agg(F.sum("d").alias("d"), F.bool_or("real").alias("real")).withColumn(
+        "alive", F.sum("d").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))).where("real")
+    n = features.agg(F.count(F.lit(1)).alias("n"))
+    return running.crossJoin(F.broadcast(n)).select("step", (F.col("n") - F.col("alive")).alias("n_dead"), ((F.col("n") - F.col("alive")) / F.col("n")).alias("dead_ratio"))
 
 
 def discrimination(code: DataFrame, pairs: DataFrame, group: list[str], features: DataFrame, rotation: int) -> DataFrame:
@@ -114,6 +124,23 @@ def max_activating(acts: DataFrame, n: int) -> DataFrame:
     return alive.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def max_activating_rows(code: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """max_activating from a sparse code (feature_idx, key, shard, pos, z) and all rows (key, shard, pos).
+
+    Rows without the feature count with 0.  They matter only to features with fewer than n
+    active rows, and of these only the first 2n rows of a shard can be among the n.
+    """
+    order = Window.partitionBy("feature_idx").orderBy(F.col("activation").desc(), "shard", "pos")
+    active = code.select("feature_idx", "key", "shard", "pos", F.col("z").alias("activation"))
+    best = active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank")
+    short = best.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < n).select("feature_idx")
+    few = best.join(short, "feature_idx", "left_semi")  # all active rows of those features
+    head = rows.withColumn("_k", F.row_number().over(Window.partitionBy("shard").orderBy("pos"))).where(F.col("_k") <= 2 * n).drop("_k")
+    zero = few.select("feature_idx", "shard").distinct().join(head, "shard").join(few.select("feature_idx", "key"), ["feature_idx", "key"], "left_anti")
+    full = best.unionByName(zero.select("feature_idx", "key", "shard", "pos", F.lit(0.0).alias("activation")))
+    return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
 class SparseAutoencoder:
     """Top-k autoencoder with an auxiliary loss for dead features, trained by Adam in NumPy.
 

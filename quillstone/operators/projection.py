@@ -12,6 +12,7 @@ rows; equal logits are in order of their id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,18 +50,30 @@ def _dense(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
 
 def _best(z: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest per row, equal values by column."""
-    k = min(k, z.shape[1])
-    return np.argsort(-z, axis=1, kind="stable")[:, :k]
+    m = z.shape[1]
+    if k >= m:
+        return np.argsort(-z, axis=1, kind="stable")
+    at = np.argpartition(-z, k - 1, axis=1)[:, :k]
+    value = np.take_along_axis(z, at, 1)
+    tied = np.flatnonzero((z >= value.min(axis=1)[:, None]).sum(axis=1) > k)
+    by = np.lexsort((at, -value), axis=1)
+    out = np.take_along_axis(at, by, 1)
+    if len(tied):  # the k-th value is there more than once: the first columns have it
+        out[tied] = np.argsort(-z[tied], axis=1, kind="stable")[:, :k]
+    return out
 
 
 def project_top_k(vectors: DataFrame, weights: DataFrame, k: int, *, bias: bool = False, relu: bool = False,
-                  max_bytes: int = 256 << 20, digits: int | None = None) -> DataFrame:
-    """(key, id, value, rank): the k largest products of each vector (key, v) with weights (id, w[, b]).
+                  max_bytes: int = 256 << 20, digits: int | None = None, carry: list[str] = ()) -> DataFrame:
+    """(key, carry, id, value, rank): the k largest products of each vector (key, v, carry) with weights (id, w[, b]).
 
     relu keeps positive values only (a top-k sparse code).  digits rounds before ranking.
+    Columns to carry pass through the task, so that nothing is joined again.  Weights in one
+    block are ranked where the vector is; the best of several blocks are ranked once more.
     """
     spark = vectors.sparkSession
-    kind = vectors.schema["key"].dataType.simpleString()
+    keys = ["key", *carry]
+    kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keys)
     parts = []
     for block in _blocks(weights, ["id", "w", *(["b"] if bias else [])], max_bytes):
         w, at = _dense(block["w"])
@@ -78,23 +91,84 @@ def project_top_k(vectors: DataFrame, weights: DataFrame, k: int, *, bias: bool
                         z = np.round(z, digits) + 0.0
                     best = _best(z, k)
                     r = np.repeat(np.arange(len(z)), best.shape[1])
+                    rank = np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(z))
                     c = best.ravel()
                     if relu:
                         keep = z[r, c] > 0
-                        r, c = r[keep], c[keep]
+                        r, c, rank = r[keep], c[keep], rank[keep]
+                    rows = pa.array(at[lo: lo + _CHUNK][r])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("key").take(pa.array(at[lo: lo + _CHUNK][r])), pa.array(ids[c]), pa.array(z[r, c])], names=["key", "id", "value"])
+                        [*(batch.column(x_).take(rows) for x_ in keys), pa.array(ids[c]), pa.array(z[r, c]), pa.array(rank)], names=[*keys, "id", "value", "rank"])
 
-        parts.append(vectors.select("key", "v").mapInArrow(run, f"key {kind}, id bigint, value double"))
+        parts.append(vectors.select(*keys, "v").mapInArrow(run, f"{kinds}, id bigint, value double, rank int"))
     if not parts:
-        return vectors.select("key", F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("value"), F.lit(0).alias("rank")).limit(0)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+        return vectors.select(*keys, F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("value"), F.lit(0).alias("rank")).limit(0)
+    if len(parts) == 1:
+        return parts[0]
+    found = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("key").orderBy(F.col("value").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def project_log_probs(vectors: DataFrame, weights: DataFrame, *, ids: str | None = None, carry: list[str] = (), max_bytes: int = 256 << 20) -> DataFrame:
+    """(key, carry, id, logit, log_prob) of the ids in a vector's ARRAY<BIGINT> column `ids`, or of all weights.
+
+    A task sums the exponentials over a block against its maximum and gathers what is asked
+    for; only that leaves the task.  Sums of several blocks merge by key.  Ids that are not
+    among the weights have no row; a repeated id has one for each time.
+    """
+    spark = vectors.sparkSession
+    keys = ["key", *carry]
+    kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keys)
+    parts = []
+    for block in _blocks(weights, ["id", "w"], max_bytes):
+        w, at = _dense(block["w"])
+        if not len(at):
+            continue
+        held = spark.sparkContext.broadcast((w, block["id"].to_numpy()[at].astype(np.int64)))  # in order of id
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            w, known = held.value
+            for batch in batches:
+                x, at = _dense(batch.column("v"), w.shape[1])
+                for lo in range(0, len(at), _CHUNK):
+                    part = at[lo: lo + _CHUNK]
+                    z = x[lo: lo + _CHUNK] @ w.T
+                    top = z.max(axis=1)
+                    total = np.exp(z - top[:, None]).sum(axis=1)
+                    if ids is None:
+                        size, asked, found = np.full(len(z), len(known)), np.tile(known, len(z)), z.ravel()
+                    else:
+                        lists = batch.column(ids).take(pa.array(part))
+                        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                        asked = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                        r = np.repeat(np.arange(len(z)), size)
+                        c = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                        ok = known[c] == asked
+                        size = np.bincount(r[ok], minlength=len(z))
+                        asked, found = asked[ok], z[r[ok], c[ok]]
+                    offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+                    rows = pa.array(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(x_).take(rows) for x_ in keys), pa.array(top), pa.array(total),
+                         pa.ListArray.from_arrays(offsets, pa.array(asked, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(found, pa.float64()))],
+                        names=[*keys, "top", "part", "ids", "logits"])
+
+        parts.append(vectors.select(*keys, "v", *([ids] if ids else [])).mapInArrow(
+            run, f"{kinds}, top double, part double, ids array<bigint>, logits array<double>"))
+    if not parts:
+        return vectors.select(*keys, F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("logit"), F.lit(0.0).alias("log_prob")).limit(0)
+    found = parts[0]
+    if len(parts) > 1:  # a list entry for each block
+        found = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
+            F.max("top").alias("top"), F.collect_list(F.struct("top", "part")).alias("p"),
+            F.flatten(F.collect_list(F.arrays_zip("ids", "logits"))).alias("z")).select(
+            *keys, "top", F.aggregate("p", F.lit(0.0), lambda s, x: s + x["part"] * F.exp(x["top"] - F.col("top"))).alias("part"),
+            F.col("z.ids").alias("ids"), F.col("z.logits").alias("logits"))
+    return found.select(*keys, "top", "part", F.explode(F.arrays_zip("ids", "logits")).alias("z")).select(
+        *keys, F.col("z.ids").alias("id"), F.col("z.logits").alias("logit"), (F.col("z.logits") - F.col("top") - F.log("part")).alias("log_prob"))
+
+
 def project_softmax_mass(vectors: DataFrame, weights: DataFrame, *, max_bytes: int = 256 << 20) -> DataFrame:
     """(key, class, mass): softmax over all weights (id, w, class), summed by class, in one pass.
 

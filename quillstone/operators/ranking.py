@@ -17,8 +17,16 @@ def mixed(x: Column) -> Column:
     return x
 
 
-def dense_index(df: DataFrame, group: list[str], order: list[Column], slice_: Column, out: str = "idx") -> DataFrame:
-    """0-based row number in each group, in the order of (slice_, *order).
+def mix_integers(x: np.ndarray) -> np.ndarray:
+    """The same for an array."""
+    x = x % 2147483648
+    for _ in range(3):
+        x = ((x ^ (x >> 15)) * 1103515245 + 12345) % 2147483648
+    return x
+
+
+def dense_index(df: DataFrame, group: list[str], order: list[Column], slice_: Column, out: str = "idx", total: str | None = None) -> DataFrame:
+    """0-based row number in each group, in the order of (slice_, *order), and on demand the group's size.
 
     slice_ must not contradict the order (a prefix of it, such as a range of the sort key).
     Rows are numbered inside a slice and shifted by the counts of the slices before, so the
@@ -27,12 +35,14 @@ def dense_index(df: DataFrame, group: list[str], order: list[Column], slice_: Co
     s = df.withColumn("_slice", slice_)
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     skip = s.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_c")).withColumn(
-        "_skip", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+        "_skip", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    skip = skip.withColumn("_total", F.sum("_c").over(Window.partitionBy(*group))) if total else skip
     inside = Window.partitionBy(*group, "_slice").orderBy(*order)
     numbered = s.withColumn("_n", F.row_number().over(inside) - 1)
     on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*group, "_slice")]
     joined = numbered.alias("x").join(skip.alias("y"), on)
-    return joined.select("x.*", (F.col("y._skip") + F.col("x._n")).cast("bigint").alias(out)).drop("_slice", "_n")
+    size = [F.col("y._total").alias(total)] if total else []
+    return joined.select("x.*", (F.col("y._skip") + F.col("x._n")).cast("bigint").alias(out), *size).drop("_slice", "_n")
 
 
 def minibatches(df: DataFrame, key: str, batch: int, epoch: int = 0, seed: int = 0, parts: int = 64) -> DataFrame:
@@ -58,13 +68,21 @@ def shard_assignment(df: DataFrame, group: str, order: str, size: str, target: i
         current, shard, held = object(), 0, 0
         for b in batches:
             out = np.zeros(b.num_rows, np.int64)
-            for i, (g, n) in enumerate(zip(b.column(group).to_pylist(), b.column(size).to_pylist())):
-                if g != current:
-                    current, shard, held = g, 0, 0
-                out[i] = shard
-                held += n
-                if held >= target:
-                    shard, held = shard + 1, 0
+            names = np.array(b.column(group).to_pylist(), dtype=object)
+            total = np.cumsum(b.column(size).to_numpy())
+            ends = np.r_[np.flatnonzero(names[1:] != names[:-1]) + 1, len(names)] if len(names) else []
+            lo = 0
+            for end in ends:
+                if names[lo] != current:
+                    current, shard, held = names[lo], 0, 0
+                while lo < end:  # a step for each shard that closes, not for each row
+                    base = total[lo - 1] if lo else 0
+                    close = min(lo + int(np.searchsorted(total[lo:end], base + target - held)), end - 1)
+                    out[lo: close + 1] = shard
+                    held += total[close] - base
+                    if held >= target:
+                        shard, held = shard + 1, 0
+                    lo = close + 1
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (group, order, size)), pa.array(out)], names=[group, order, size, "shard"])
 
     kind = rows.schema[order].dataType.simpleString()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.geometry import POISSON
+from ..operators.ranking import dense_index
+
 SLUGS = ("base", "global", "water")
 
 
@@ -19,13 +22,20 @@ def latest(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, level, r, model_slug, i, h): one vector per level and rank r; i ranks within level and model."""
+def states(spark: SparkSession, sf_dir: str, ranks: str = "ri") -> DataFrame:
+    """(vec_id, level, model_slug, h, r, n_r, i): one vector per level and rank r; i ranks within level and model.
+
+    Only keys are numbered, in slices of the key, and only by the ranks asked for; the vectors join afterwards.
+    """
     e = table(spark, sf_dir, "embeddings")
     slug = F.element_at(F.array(*map(F.lit, SLUGS)), (F.pmod("vec_id", F.lit(3)) + 1).cast("int"))
-    e = e.select("vec_id", F.col("label").alias("level"), slug.alias("model_slug"), F.col("embedding").alias("h"))
-    return e.withColumn("r", F.row_number().over(Window.partitionBy("level").orderBy("vec_id")) - 1).withColumn(
-        "i", F.row_number().over(Window.partitionBy("level", "model_slug").orderBy("vec_id")) - 1)
+    ranked = e.select("vec_id", F.col("label").alias("level"), slug.alias("model_slug"))
+    block = F.floor(F.col("vec_id") / 65536)
+    if "r" in ranks:
+        ranked = dense_index(ranked, ["level"], [F.col("vec_id")], block, "r", "n_r")
+    if "i" in ranks:
+        ranked = dense_index(ranked, ["level", "model_slug"], [F.col("vec_id")], block, "i")
+    return ranked.join(e.select("vec_id", F.col("embedding").alias("h")), "vec_id")
 
 
 STATES = """states AS (
@@ -35,10 +45,11 @@ STATES = """states AS (
 
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(level, i, a, b): ranks 2i and 2i+1 of a level as the two sides of pair i."""
-    s = states(spark, sf_dir)
+    """(level, i, a, b, n): ranks 2i and 2i+1 of a level as the two sides of pair i of n."""
+    s = states(spark, sf_dir, "r")
     pick = lambda k: F.max(F.when(F.pmod("r", F.lit(2)) == k, F.col("h")))
-    return s.groupBy("level", F.floor(F.col("r") / 2).cast("int").alias("i")).agg(pick(0).alias("a"), pick(1).alias("b")).where("a is not null and b is not null")
+    return s.groupBy("level", F.floor(F.col("r") / 2).cast("int").alias("i"), F.floor(F.col("n_r") / 2).alias("n")).agg(
+        pick(0).alias("a"), pick(1).alias("b")).where("a is not null and b is not null")
 
 
 SIDES = STATES + """, pairs AS (
@@ -55,12 +66,12 @@ def boot_sql(values: str, group: str, seed: str, n_boot: int = 2000) -> str:
     g = [c.strip() for c in group.split(",")]
     on = lambda a, b: " AND ".join(f"{a}.{c}={b}.{c}" for c in g)
     step = "SELECT * REPLACE ((xor(x, x >> 15) * 1103515245 + 12345) % 2147483648 AS x) FROM "
+    count = " + ".join(f"CAST(x >= {t} AS INTEGER)" for t in POISSON)
     return f"""st AS (SELECT {group}, count(*) AS n, avg(value) AS mean FROM {values} GROUP BY {group}),
-    d0 AS (SELECT {group}, n, boot, CAST((boot * n + slot + ({seed}) * 7919) % 2147483648 AS BIGINT) AS x
-           FROM st, (SELECT unnest(range({n_boot})) AS boot), LATERAL (SELECT unnest(range(n)) AS slot)),
-    d1 AS ({step} d0), d2 AS ({step} d1), d3 AS ({step} d2),
-    bm AS (SELECT {', '.join('d3.' + c for c in g)}, boot, avg(v.value) AS m FROM d3 JOIN {values} v ON {on('d3', 'v')} AND v.i = (d3.x // 65536) % d3.n
-           GROUP BY {', '.join('d3.' + c for c in g)}, boot),
+    d0 AS (SELECT {group}, value, boot, CAST((i * {n_boot} + boot + ({seed}) * 7919) % 2147483648 AS BIGINT) AS x
+           FROM {values}, (SELECT unnest(range({n_boot})) AS boot)),
+    d1 AS ({step} d0), d2 AS ({step} d1), d3 AS ({step} d2), dw AS (SELECT {group}, value, boot, {count} AS w FROM d3),
+    bm AS (SELECT {group}, boot, sum(w * value) / sum(w) AS m FROM dw GROUP BY {group}, boot HAVING sum(w) > 0),
     ci AS (SELECT {', '.join('st.' + c for c in g)}, st.n, st.mean, q.lo, q.hi FROM st LEFT JOIN
            (SELECT {group}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY {group}) q ON {on('st', 'q')})"""
 
@@ -96,7 +107,7 @@ UNEMBED = """unembed AS (SELECT vec_id AS id, embedding::DOUBLE[] AS w, list_ext
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states(spark, sf_dir).where("vec_id >= 100")
+    return states(spark, sf_dir, "r").where("vec_id >= 100")
 
 
 LOGITS = STATES + ", " + UNEMBED + """, probes AS (SELECT * FROM states WHERE vec_id >= 100),

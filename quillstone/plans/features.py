@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import rounded
 from ..operators import features as O
-from .bindings import STATES, states, table
+from ..operators.ranking import dense_index
+from .bindings import table
 from .registry import query
 
 _LONG = lambda c: F.col(c).cast("bigint").alias(c)
@@ -72,7 +73,7 @@ def dead_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(level, i, key_a, key_b): neighbouring ranks of a level, among the activations."""
-    s = states(spark, sf_dir).where("vec_id >= 128").withColumn("q", F.row_number().over(Window.partitionBy("level").orderBy("vec_id")) - 1)
+    s = dense_index(_emb(spark, sf_dir).where("vec_id >= 128").select("vec_id", F.col("label").alias("level")), ["level"], [F.col("vec_id")], F.floor(F.col("vec_id") / 65536), "q")
     side = lambda k: F.max(F.when(F.pmod("q", F.lit(2)) == k, F.col("vec_id")))
     return s.groupBy("level", F.floor(F.col("q") / 2).alias("i")).agg(side(0).alias("key_a"), side(1).alias("key_b")).dropna()
 
@@ -153,12 +154,8 @@ def installation_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _max_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = _acts(spark, sf_dir)
-    code = _code(spark, sf_dir).join(acts.select("key", "shard", "pos"), "key")
-    # rows without the feature count with 0, but only in shards where it is active
-    live = code.select("feature_idx", "shard").distinct().join(acts.select("key", "shard", "pos"), "shard")
-    full = live.join(code.select("feature_idx", "key", "z"), ["feature_idx", "key"], "left").select(
-        "feature_idx", "key", "shard", "pos", F.coalesce("z", F.lit(0.0)).alias("activation"))
-    return O.max_activating(full, 5)
+    code = O.encode(acts.select("key", "v", "shard", "pos"), _encoder(spark, sf_dir), K, carry=["shard", "pos"])
+    return O.max_activating_rows(code, acts.select("key", "shard", "pos"), 5)
 
 
 _MAX = f"""{_CODE}, full_ AS (SELECT e.id AS feature_idx, a.key, a.shard, a.pos, coalesce(c.z, 0) AS activation FROM acts a, enc e LEFT JOIN code c ON c.key = a.key AND c.feature_idx = e.id),

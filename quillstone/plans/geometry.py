@@ -53,7 +53,7 @@ def paired_delta_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The primary lens has the even pairs with rotation 4, the other all pairs with rotation 8."""
     p = sides(spark, sf_dir)
-    primary = paired_deltas(p.where("i % 2 = 0").withColumn("i", (F.col("i") / 2).cast("int")), ["level"], 4)
+    primary = paired_deltas(p.where("i % 2 = 0").withColumn("i", (F.col("i") / 2).cast("int")).withColumn("n", F.ceil(F.col("n") / 2)), ["level"], 4)
     both = primary.withColumn("lens", F.lit("primary")).withColumn("rotation_k", F.lit(4)).unionByName(
         paired_deltas(p, ["level"], 8).withColumn("lens", F.lit("all")).withColumn("rotation_k", F.lit(8)))
     return _summary(both, ["lens", "rotation_k", "level"], F.col("level") * 17 + 11)
@@ -82,7 +82,7 @@ def peak_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_checkpoint(states(spark, sf_dir), ["level", "i"], "base")
+    return cross_checkpoint(states(spark, sf_dir, "i"), ["level", "i"], "base")
 
 
 _CROSS = f"""{STATES}, x AS (SELECT p.model_slug AS post_slug, p.level, p.i, {cos_sql('p.h', 'b.h')} AS cosine

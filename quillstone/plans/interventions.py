@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import add_scaled, rounded
 from ..operators import interventions as I
-from ..operators.projection import project_top_k
+from ..operators.projection import project_log_probs
 from ..sources import files
 from .bindings import LOGITS, PACKET, packet, states, table, unembed
 from .registry import query
@@ -32,33 +32,36 @@ def token_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("packet_row_id", F.size("a").cast("bigint").alias("n_a"), F.size("b").cast("bigint").alias("n_b"), I.first_divergence(F.col("a"), F.col("b")).cast("bigint").alias("divergence"))
 
 
-def _case_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case, pos, token_id, logit, arm): levels as positions of the case (arm, rank)."""
-    p = states(spark, sf_dir).where("vec_id >= 100")
-    key = F.concat_ws("-", "model_slug", F.col("i").cast("string"), F.col("level").cast("string"))
-    logits = project_top_k(p.select(key.alias("key"), F.col("h").alias("v")), unembed(spark, sf_dir), 1 << 30)
-    part = lambda i: F.split_part("key", F.lit("-"), F.lit(i))
-    return logits.select(part(1).alias("arm"), part(2).cast("bigint").alias("case_id"), part(3).cast("bigint").alias("pos"), F.col("id").alias("token_id"), F.col("value").alias("logit"))
+def _case_log_probs(spark: SparkSession, sf_dir: str, tokens: dict[str, Column]) -> DataFrame:
+    """(arm, case_id, pos, id, logit, log_prob) of the tokens asked for, given by (i, level); levels are positions of the case (arm, rank)."""
+    p = states(spark, sf_dir, "i").where("vec_id >= 100").select(
+        F.col("vec_id").alias("key"), F.col("h").alias("v"), F.col("model_slug").alias("arm"), F.col("i").cast("bigint").alias("case_id"),
+        F.col("level").cast("bigint").alias("pos"))
+    p = p.withColumns(tokens).withColumn("ids", F.array_distinct(F.array(*tokens)))
+    return project_log_probs(p, unembed(spark, sf_dir), ids="ids", carry=["arm", "case_id", "pos", *tokens])
 
 
-def _case_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = states(spark, sf_dir).where("vec_id >= 100")
-    return p.select(F.col("model_slug").alias("arm"), F.col("i").cast("bigint").alias("case_id"), F.col("level").cast("bigint").alias("pos"), F.pmod(F.col("i") * 7 + F.col("level"), F.lit(100)).cast("bigint").alias("token_id"))
+def _given() -> Column:
+    return F.pmod(F.col("case_id") * 7 + F.col("pos"), F.lit(100)).cast("bigint")
 
 
+def _branch() -> Column:
+    return F.pmod(F.col("case_id") * 11 + F.col("pos") + 1, F.lit(100)).cast("bigint")
+
 
 _TF = LOGITS + """, lp AS (SELECT model_slug AS arm, i AS case_id, CAST(level AS BIGINT) AS pos, token_id, logit, ln(prob) AS log_prob FROM probs),
     tf AS (SELECT * FROM lp WHERE token_id = (case_id * 7 + pos) % 100), tb AS (SELECT case_id, pos, token_id, max(CASE WHEN arm = 'base' THEN log_prob END) AS base, max(CASE WHEN arm = 'global' THEN log_prob END) AS global_ FROM tf GROUP BY ALL)"""
 
 
 def _per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.token_log_probs(_case_logits(spark, sf_dir), _case_tokens(spark, sf_dir), ["arm", "case_id"])
+    return _case_log_probs(spark, sf_dir, {"given": _given()}).select("arm", "case_id", "pos", F.col("id").alias("token_id"), "log_prob")
 
 
 @query(f"WITH {_TF} SELECT arm, case_id, round(sum(log_prob), 6) + 0.0 AS log_prob, count(*) AS n_tokens FROM tf GROUP BY ALL")
 def teacher_forced_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of a given continuation, per case and arm."""
-    s = I.sequence_log_prob(_per_token(spark, sf_dir), _case_tokens(spark, sf_dir), ["arm", "case_id"])
+    cases = states(spark, sf_dir, "i").where("vec_id >= 100").select(F.col("model_slug").alias("arm"), F.col("i").cast("bigint").alias("case_id"))
+    s = I.sequence_log_prob(_per_token(spark, sf_dir), cases, ["arm", "case_id"])
     return s.select("arm", "case_id", rounded(F.col("log_prob")).alias("log_prob"), "n_tokens")
 
 
@@ -82,9 +85,9 @@ def logprob_shift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT b.case_id, b.pos, round(b.margin, 6) + 0.0 AS baseline_value, round(w.margin, 6) + 0.0 AS patched_value, round(w.margin - b.margin, 6) + 0.0 AS effect FROM m b JOIN m w ON w.arm <> 'base' AND b.arm = 'base' AND b.case_id = w.case_id AND b.pos = w.pos""")
 def branch_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logit of one token less that of another, before and after."""
-    l = _case_logits(spark, sf_dir)
-    at = lambda e: F.max(F.when(F.col("token_id") == F.pmod(e, F.lit(100)), F.col("logit")))
-    m = l.groupBy("arm", "case_id", "pos").agg((at(F.col("case_id") * 7 + F.col("pos")) - at(F.col("case_id") * 11 + F.col("pos") + 1)).alias("margin"))
+    l = _case_log_probs(spark, sf_dir, {"given": _given(), "branch": _branch()})
+    at = lambda c: F.max(F.when(F.col("id") == F.col(c), F.col("logit")))
+    m = l.groupBy("arm", "case_id", "pos").agg((at("given") - at("branch")).alias("margin"))
     b = m.where("arm = 'base'").select("case_id", "pos", F.col("margin").alias("baseline_value"))
     w = m.where("arm != 'base'").select("case_id", "pos", F.col("margin").alias("patched_value"))
     e = I.effects(b.join(w, ["case_id", "pos"]))
@@ -156,7 +159,7 @@ _S2 = "s AS (SELECT label AS level, vec_id, embedding::DOUBLE[] AS h, row_number
 @query(f"""WITH {_S2}, d AS (SELECT r, h FROM s WHERE level = 9) SELECT s.vec_id, round(list_sum(CASE WHEN s.level = 5 THEN coalesce(d.h, s.h) ELSE s.h END), 6) + 0.0 AS total FROM s LEFT JOIN d ON d.r = s.r""")
 def state_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of level 5 replaced by those of level 9 of the same row, where there is one."""
-    s = states(spark, sf_dir).select("level", "r", "vec_id", "h")
+    s = states(spark, sf_dir, "r").select("level", "r", "vec_id", "h")
     donors = s.where("level = 9").select(F.lit(5).alias("level"), "r", F.col("h").alias("donor"))
     p = I.patch_states(s, donors, ["level", "r"])
     return p.select("vec_id", rounded(F.aggregate("h", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("total"))
@@ -183,12 +186,16 @@ def io_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one where it is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one where it is unset and all tasks run here."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
-    return f"{base}/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="shared-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scripts as S
-from ..functions.text import BLANK, char_f_scores, is_json, script_ratio, stripped
+from ..functions.text import BLANK, char_f_score, char_f_scores, is_json, script_ratio, stripped
 from ..functions.vectors import rounded
 from ..operators.interventions import SUBTASK_METRICS, COMMON_METRICS, lifted, relevant
 from .bindings import CORPUS, PACKET, corpus, packet, table
@@ -78,11 +78,11 @@ def _side():
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(packet_row_id, subtask, metrics...): the prompt as a continuation, the reference text as the global one."""
     p = packet(spark, sf_dir).withColumn("t", stripped(F.col("prompt")))
-    chrf = char_f_scores(p.where("reference_text is not null"), "packet_row_id", "prompt", "reference_text")
-    return p.join(chrf, "packet_row_id", "left").select(
+    chrf = F.when(F.col("reference_text").isNotNull(), char_f_score(F.col("prompt"), F.col("reference_text")))
+    return p.select(
         "packet_row_id", _side().alias("side"), F.split_part("packet_row_id", F.lit("-"), F.lit(3)).alias("subtask"), is_json(F.col("t")).alias("is_json_valid"),
         (F.col("t").startswith('"') & F.col("t").endswith('"')).cast("double").alias("has_quotation_wrap"), (~F.contains("t", F.lit(","))).cast("double").alias("no_comma_compliance"),
-        rounded(script_ratio(F.col("t"), _side())).alias("target_lang_script_ratio"), rounded(F.col("chrf")).alias("chrf_to_global"))
+        rounded(script_ratio(F.col("t"), _side())).alias("target_lang_script_ratio"), rounded(chrf).alias("chrf_to_global"))
 
 
 _METRICS = f"""{PACKET}, src AS (SELECT * FROM eval_packet_1 WHERE reference_text IS NOT NULL), {chrf_sql('src', 'packet_row_id', 'prompt', 'reference_text')},

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import rounded, top_k, unit
-from ..operators.projection import entropy, first_level, project_softmax_mass, project_top_k, softmax
+from ..operators.projection import entropy, first_level, project_log_probs, project_softmax_mass, project_top_k
 from .bindings import LOGITS, probes, table, unembed
 from .registry import query
 
@@ -15,8 +15,8 @@ _LONG = lambda c: F.col(c).cast("bigint").alias(c)
 
 def _top(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     p = probes(spark, sf_dir)
-    t = project_top_k(p.select(F.col("vec_id").alias("key"), F.col("h").alias("v")), unembed(spark, sf_dir), k, digits=9)
-    return t.join(p.select(F.col("vec_id").alias("key"), "level", "model_slug", "r"), "key")
+    carry = ["level", "model_slug", "r"]
+    return project_top_k(p.select(F.col("vec_id").alias("key"), F.col("h").alias("v"), *carry), unembed(spark, sf_dir), k, digits=9, carry=carry)
 
 
 _TOPS = LOGITS + """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(logit, 9) DESC, token_id) AS rank FROM logits) WHERE rank <= 10)"""
@@ -32,8 +32,8 @@ def vocab_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocab_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of every probe over the whole vocabulary."""
     p = probes(spark, sf_dir).select(F.col("vec_id").alias("key"), F.col("h").alias("v"))
-    logits = project_top_k(p, unembed(spark, sf_dir), 1 << 30)
-    return softmax(logits, ["key"], "value").select(F.col("key").alias("vec_id"), F.col("id").alias("token_id"), rounded(F.col("prob")).alias("prob"))
+    return project_log_probs(p, unembed(spark, sf_dir)).select(
+        F.col("key").alias("vec_id"), F.col("id").alias("token_id"), rounded(F.exp("log_prob")).alias("prob"))
 
 
 def _mass(spark: SparkSession, sf_dir: str) -> DataFrame:

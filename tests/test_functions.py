@@ -206,3 +206,68 @@ def test_continuations(spark):
 def test_summary_has_no_nan(spark):
     out = files.summary_json({"x": spark.createDataFrame([(float("nan"),)], "v double")}, ["b", "a"])
     assert "NaN" not in out and '"a"' in out
+
+
+def test_log_probs_in_blocks_are_the_same(spark):
+    rng = np.random.default_rng(3)
+    w, v = rng.normal(size=(40, 6)), rng.normal(size=(15, 6))
+    weights = spark.createDataFrame([(i * 3, [float(x) for x in r]) for i, r in enumerate(w)] + [(500, None)], "id bigint, w array<double>")
+    asked = [[0, 39, 39, 7], [], None, [117, 60]] + [[3 * i] for i in range(11)]  # 7 and unknown ids give nothing
+    vectors = spark.createDataFrame([(i, [float(x) for x in r], a, "t") for i, (r, a) in enumerate(zip(v, asked))] + [(99, None, [0], "t")], "key bigint, v array<double>, ids array<bigint>, tag string")
+    z = v @ w.T
+    lp = z - np.log(np.exp(z).sum(axis=1))[:, None]
+    want = sorted((i, t, round(lp[i, t // 3], 9)) for i, a in enumerate(asked) for t in a or () if t % 3 == 0)
+    for size in (1 << 20, 500):
+        got = projection.project_log_probs(vectors, weights, ids="ids", carry=["tag"], max_bytes=size).collect()
+        assert sorted((r.key, r.id, round(r.log_prob, 9)) for r in got) == want and {r.tag for r in got} == {"t"}
+        whole = projection.project_log_probs(vectors, weights, max_bytes=size).collect()
+        assert len(whole) == 600 and sum(np.exp(r.log_prob) for r in whole if r.key == 4) == pytest.approx(1)
+    assert projection.project_log_probs(vectors, weights.limit(0), ids="ids").count() == 0
+
+
+def test_best_with_ties():
+    z = np.random.default_rng(1).integers(0, 4, (50, 12)).astype(float)
+    for k in (1, 3, 11, 12, 20):
+        assert np.array_equal(projection._best(z, k), np.argsort(-z, axis=1, kind="stable")[:, :k])
+
+
+@pytest.mark.parametrize("window", [0, 1, 3])
+def test_dead_features_by_steps(spark, window):
+    rng = np.random.default_rng(window)
+    fires = {(int(s), int(f)) for s, f in zip(rng.integers(0, 9, 20), rng.integers(0, 6, 20))}
+    steps = spark.createDataFrame([(s,) for s in range(9)], "step bigint")
+    features_ = spark.createDataFrame([(f,) for f in range(8)], "feature_idx bigint")
+    got = {r.step: r.n_dead for r in feature_ops.dead_features(spark.createDataFrame(list(fires) + list(fires)[:3], "step bigint, feature_idx bigint"), features_, steps, window).collect()}
+    assert got == {s: sum(s - max((t for t, g in fires if g == f and t <= s), default=-1) > window for f in range(8)) for s in range(9)}
+
+
+def test_max_activating_rows_are_those_of_the_dense_grid(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, k // 7, k % 7) for k in range(40)]
+    code = [(f, k, k // 7, k % 7, float(rng.integers(1, 4))) for f, share in ((0, 0.5), (1, 0.05), (2, 0.0), (3, 1.0)) for k in range(40) if rng.random() < share]
+    active = {(c[0], c[1]): c[4] for c in code}
+    grid = [(f, k, s, p, active.get((f, k), 0.0)) for f in range(4) for k, s, p in rows]
+    c = spark.createDataFrame(code, "feature_idx int, key int, shard int, pos int, z double")
+    r = spark.createDataFrame(rows, "key int, shard int, pos int")
+    want = feature_ops.max_activating(spark.createDataFrame(grid, "feature_idx int, key int, shard int, pos int, activation double"), 5)
+    pick = lambda df: sorted((x.feature_idx, x["rank"], x.key, x.activation) for x in df.collect())
+    assert pick(feature_ops.max_activating_rows(c, r, 5)) == pick(want)
+
+
+def test_scores_of_pairs_do_not_depend_on_the_batch(spark):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abé가 "), rng.integers(0, 40))) for _ in range(60)]
+    pairs = list(zip(texts[::2], texts[1::2]))
+    alone = [text._gram_scores([" ".join(p.split())], [" ".join(r.split())], 6, 2.0)[0] if p.strip() and r.strip() else 0.0 for p, r in pairs]
+    df = spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(pairs)] + [(90, None, "a"), (91, "a" * 70_000, "a" * 70_001)], "id int, p string, r string")
+    got = {r.id: r.chrf for r in text.char_f_scores(df, "id", "p", "r").collect()}
+    assert [got[i] for i in range(len(pairs))] == pytest.approx(alone) and got[90] == 0 and got[91] > 0.99
+
+
+def test_bootstrap_is_close_to_exact_and_takes_nulls(spark):
+    values = np.random.default_rng(2).normal(1, 1, 200)
+    df = spark.createDataFrame([("g", i, float(v)) for i, v in enumerate(values)] + [("g", 200, None), ("g", 201, float("nan")), ("none", 0, None), (None, 0, 1.0)], "g string, i int, value double")
+    got = {r.g: r for r in geometry.bootstrap_ci(df, ["g"], F.lit(5)).collect()}
+    mean, lo, hi = geometry.bootstrap_mean_ci(values, seed=1)
+    assert got["g"].mean == pytest.approx(mean) and abs(got["g"].lo - lo) < 0.03 and abs(got["g"].hi - hi) < 0.03 and got["g"].n == 202
+    assert got["none"].mean is None and got["none"].lo is None and got[None].lo == got[None].hi == 1.0
