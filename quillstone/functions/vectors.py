@@ -25,6 +25,18 @@ def unit(v: Column, eps: float = 1e-12) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
+def rms_norm(v: Column, gain: Column | None = None, eps: float = 1e-6) -> Column:
+    """The final norm of a model: v over its root mean square, times a gain for each dimension."""
+    r = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / F.size(v) + eps)
+    out = F.transform(v, lambda x: x.cast("double") / r)
+    return out if gain is None else F.zip_with(out, gain, lambda x, g: x * g.cast("double"))
+
+
+def scaled(v: Column, factor: float) -> Column:
+    """As for logits that a model scales."""
+    return F.transform(v, lambda x: x.cast("double") * F.lit(factor))
+
+
 def add_scaled(v: Column, direction: Column, scale: float) -> Column:
     """Steering: v + scale * direction."""
     return F.zip_with(v, direction, lambda x, y: x.cast("double") + F.lit(scale) * y.cast("double"))

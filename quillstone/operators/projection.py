@@ -16,9 +16,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+
 _CHUNK = 512
 
 
@@ -225,6 +227,17 @@ def entropy(counts: DataFrame, group: list[str], n: str = "n") -> DataFrame:
         F.count(F.lit(1)).alias("n_distinct"), F.first("total").alias("total"), (-F.sum(p * F.log2(p + 1e-10))).alias("entropy"))
 
 
+def target_in_top(ids: Column, tokens: Column, target_id: Column, target: Column) -> Column:
+    """Whether a target is among the likeliest tokens: by id, or as text that either holds the other, whatever the case.
+
+    Blank tokens match nothing; a null token or target text leaves the id to decide.
+    """
+    wanted = F.lower(target)
+    close = lambda t: (t != "") & (F.contains(t, wanted) | F.contains(wanted, t))
+    by_text = F.exists(F.transform(F.filter(tokens, lambda t: t.isNotNull()), lambda t: stripped(F.lower(t))), close)
+    return F.coalesce(F.array_contains(ids, target_id), F.lit(False)) | F.coalesce(by_text, F.lit(False))
+
+
 def first_level(rows: DataFrame, key: list[str], conditions: dict) -> DataFrame:
     """The lowest level at which each condition holds, null where it never does."""
     return rows.groupBy(*key).agg(*[F.min(F.when(c, F.col("level"))).alias(name) for name, c in conditions.items()])

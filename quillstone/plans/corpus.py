@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tokenizer import token_ids
 from ..functions.vectors import rounded
 from ..operators import corpus as C
 from ..operators.ranking import dense_index, minibatches, shard_assignment
@@ -13,7 +14,8 @@ from .bindings import CORPUS, PACKET, corpus, latest_sql, packet, table
 from .registry import query
 
 _LONG = lambda c: F.col(c).cast("bigint").alias(c)
-PAIRS = [("JA-EN", "jpn_Jpan", "eng_Latn"), ("KO-EN", "kor_Hang", "eng_Latn"), ("AR-EN", "arb_Arab", "eng_Latn"), ("JA-ZH", "jpn_Jpan", "cmn_Hans")]
+# Pair labels and the languages of their sides.
+PAIRS = [("JA-EN", "jpn_Jpan", "eng_Latn"), ("KO-EN", "kor_Hang", "eng_Latn"), ("AR-EN", "arb_Arab", "eng_Latn"), ("JA-Zh", "jpn_Jpan", "cmn_Hans")]
 NAMES = {"jpn_Jpan": "Japanese", "kor_Hang": "Korean", "arb_Arab": "Arabic", "eng_Latn": "English", "cmn_Hans": "Chinese"}
 _FAMILY_SQL = "CASE " + " ".join(f"WHEN starts_with(packet_row_id, '{f}-') THEN '{f}'" for f in C.FAMILIES) + " ELSE 'unknown' END"
 
@@ -121,7 +123,7 @@ def corpus_pair_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MIF = f"""{PACKET}, ja AS (SELECT packet_row_id, source_row_id, split_part(packet_row_id, '-', 3) AS subtask FROM eval_packet_1 WHERE starts_with(packet_row_id, 'ja-mif-')),
     ko AS (SELECT packet_row_id, source_row_id FROM eval_packet_1 WHERE starts_with(packet_row_id, 'ko-mif-')),
     pairs AS (SELECT ja.packet_row_id AS ja_id, ja.source_row_id, subtask, ko.packet_row_id AS ko_id,
-        row_number() OVER (PARTITION BY ja.packet_row_id ORDER BY ko.packet_row_id) AS rn FROM ja JOIN ko ON CAST(ja.source_row_id AS BIGINT) % 10 = CAST(ko.source_row_id AS BIGINT) % 10 AND contains(ko.packet_row_id, subtask))"""
+        row_number() OVER (PARTITION BY ja.packet_row_id ORDER BY ko.packet_row_id) AS rn FROM ja JOIN ko ON ja.source_row_id = ko.source_row_id AND contains(ko.packet_row_id, subtask))"""
 
 
 def _mif_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +183,42 @@ def anchor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tri(spark, sf_dir).groupBy("pair_label").agg(F.count(F.lit(1)).alias("n_prompts"), n.alias("n_anchors")).withColumn("all_equal", F.col("n_anchors") == 1)
 
 
+_TARGETS = "tg(language, category, target) AS (VALUES " + ", ".join(f"({_literal(r[1])}, {_literal(r[2])}, {_literal(r[3])})" for r in catalogue.rows() if r[3]) + ")"
+
+
+@query(f"""WITH RECURSIVE {_TARGETS}, voc AS (SELECT piece, min(token_id) AS id FROM token_vocab WHERE piece <> '' GROUP BY piece), tok AS (SELECT * FROM voc WHERE NOT regexp_full_match(piece, '<0x[0-9A-F][0-9A-F]>')),
+    st AS (SELECT target, 1 AS pos, 0 AS n, CAST(NULL AS BIGINT) AS first FROM (SELECT DISTINCT target FROM tg)
+      UNION ALL SELECT target, pos + coalesce(step, 1), n + CASE WHEN step IS NULL THEN strlen(substring(target, pos, 1)) ELSE 1 END,
+        CASE WHEN n > 0 THEN first WHEN step IS NULL THEN (SELECT b.id FROM voc b WHERE b.piece = '<0x' || upper(substr(hex(substring(target, pos, 1)), 1, 2)) || '>') ELSE id END
+      FROM (SELECT s.target, s.pos, s.n, s.first, max(length(v.piece)) AS step, arg_max(v.id, length(v.piece)) AS id FROM st s LEFT JOIN tok v ON starts_with(substring(s.target, s.pos), v.piece)
+            WHERE s.pos <= length(s.target) GROUP BY s.target, s.pos, s.n, s.first))
+    SELECT language, category, target, CAST(n AS BIGINT) AS n_tokens, CAST(first AS BIGINT) AS first_token_id, n = 1 AS is_single FROM tg JOIN st USING (target) WHERE pos > length(target)""")
+def target_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the expected continuations of the prompt catalogue are tokenized."""
+    p = catalogue.prompts(spark, sorted({r[1] for r in catalogue.rows()})).where("expected_next is not null and expected_next != ''")
+    t = p.select("language", "category", F.col("expected_next").alias("target"), token_ids(F.col("expected_next"), table(spark, sf_dir, "token_vocab")).alias("ids"))
+    return t.select("language", "category", "target", F.size("ids").cast("bigint").alias("n_tokens"), F.get("ids", F.lit(0)).alias("first_token_id"), (F.size("ids") == 1).alias("is_single"))
+
+
+@query()
+def token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per token of the project's tokenizer, over whole texts."""
+    ids = token_ids(F.col("text"), table(spark, sf_dir, "token_vocab"))
+    return corpus(spark, sf_dir).where("text is not null").select("row_id", "source", "language", F.posexplode(ids).alias("token_idx", "token_id"))
+
+
+@query(f"""WITH {CORPUS}, s AS (SELECT source, split_part(row_id, '-', 1) AS language, CAST(split_part(row_id, '-', 3) AS BIGINT) AS n, row_id, text FROM corpus_rows_1
+      WHERE source IN ('flores-dev', 'flores-devtest') AND regexp_full_match(row_id, '[a-z]+_[A-Za-z]+-(dev|devtest)-[0-9]+'))
+    SELECT source, row_id AS given_id, language || '-' || replace(source, 'flores-', '') || '-' || (row_number() OVER (PARTITION BY source, language ORDER BY n, row_id) - 1) AS row_id, language, length(text) AS n_chars FROM s""")
+def corpus_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both splits of the parallel sentences, numbered anew within language and split."""
+    rows = corpus(spark, sf_dir).where(F.col("source").isin("flores-dev", "flores-devtest") & F.col("row_id").rlike("^[a-z]+_[A-Za-z]+-(dev|devtest)-[0-9]+$"))
+    s = rows.select("source", F.col("row_id").alias("given_id"), F.split_part("row_id", F.lit("-"), F.lit(1)).alias("language"),
+                    F.split_part("row_id", F.lit("-"), F.lit(3)).cast("bigint").alias("n"), F.length("text").cast("bigint").alias("n_chars"))
+    s = dense_index(s, ["source", "language"], [F.col("n"), F.col("given_id")], F.floor(F.col("n") / 10000), "i")
+    return s.select("source", "given_id", F.concat_ws("-", "language", F.regexp_replace("source", "^flores-", ""), F.col("i").cast("string")).alias("row_id"), "language", "n_chars")
+
+
 _WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')"
 
 
@@ -197,7 +235,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).where("text is not null").select("row_id", "source", "language", F.filter(F.split("text", "[ \t\n\r]+"), lambda x: x != "").alias("words"))
 
 
-@query(f"""WITH {CORPUS}, w AS (SELECT row_id, source, language, {_WORDS}[1:512] AS words FROM corpus_rows_1 WHERE text IS NOT NULL)
+@query(f"""WITH {CORPUS}, w AS (SELECT row_id, source, language, {_WORDS} AS words FROM corpus_rows_1 WHERE text IS NOT NULL)
     SELECT row_id, source, language, CAST(i - 1 AS BIGINT) AS token_idx, words[i] AS token FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM w)""")
 def token_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per token of the whole texts, with its row's metadata."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import rounded, top_k, unit
-from ..operators.projection import entropy, first_level, project_log_probs, project_softmax_mass, project_top_k
+from ..functions.vectors import rms_norm, rounded, scaled, top_k, unit
+from ..operators.projection import entropy, first_level, project_log_probs, project_softmax_mass, project_top_k, target_in_top
 from .bindings import LOGITS, probes, table, unembed
 from .registry import query
 
@@ -28,6 +28,16 @@ def vocab_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir).select(F.col("key").alias("vec_id"), _LONG("rank"), F.col("id").alias("token_id"), rounded(F.col("value")).alias("logit"))
 
 
+@query("""WITH u AS (SELECT vec_id AS token_id, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < 100), e AS (SELECT vec_id, embedding::DOUBLE[] AS h FROM embeddings WHERE vec_id >= 100),
+    l AS (SELECT vec_id, token_id, round(list_dot_product(h, w) * 0.5 / sqrt(list_dot_product(h, h) / len(h) + 1e-6), 9) AS logit FROM e, u)
+    SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS rank, token_id, round(logit, 6) + 0.0 AS logit FROM l QUALIFY rank <= 10""")
+def vocab_projection_normed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 likeliest tokens after the final norm, with logits scaled by 0.5."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id >= 100")
+    t = project_top_k(e.select(F.col("vec_id").alias("key"), scaled(rms_norm(F.col("embedding")), 0.5).alias("v")), unembed(spark, sf_dir), 10, digits=9)
+    return t.select(F.col("key").alias("vec_id"), _LONG("rank"), F.col("id").alias("token_id"), rounded(F.col("value")).alias("logit"))
+
+
 @query(f"WITH {LOGITS} SELECT vec_id, token_id, round(prob, 6) + 0.0 AS prob FROM probs")
 def vocab_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of every probe over the whole vocabulary."""
@@ -110,6 +120,23 @@ def lens_emergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("model_slug", _LONG("r"), "target", _LONG("emergence"), _LONG("crystallization"), (F.col("crystallization") - F.col("emergence")).cast("bigint").alias("gap"))
 
 
+_PIECES = "pc AS (SELECT token_id - 500 AS token_id, min(piece) AS piece FROM token_vocab WHERE token_id BETWEEN 500 AND 599 GROUP BY 1)"
+
+
+@query(f"""WITH {_LENS}, {_PIECES}, m AS (SELECT t.model_slug, t.r, t.level, t.token_id = g.target AS same, trim(lower(a.piece)) AS tok, lower(b.piece) AS want
+      FROM top t JOIN tgt g USING (model_slug, r) LEFT JOIN pc a ON a.token_id = t.token_id LEFT JOIN pc b ON b.token_id = g.target)
+    SELECT model_slug, CAST(r AS BIGINT) AS r, CAST(level AS BIGINT) AS level, bool_or(same) AS by_id, bool_or(same OR coalesce(tok <> '' AND (contains(tok, want) OR contains(want, tok)), false)) AS is_match FROM m GROUP BY ALL""")
+def lens_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the final token, by id or by its text, is among the 10 likeliest of a level (vocabulary pieces from 500 on stand for the texts)."""
+    pieces = table(spark, sf_dir, "token_vocab").where("token_id between 500 and 599").groupBy((F.col("token_id") - 500).cast("bigint").alias("id")).agg(F.min("piece").alias("piece"))
+    t = _top(spark, sf_dir).join(F.broadcast(pieces), "id", "left")  # at most a hundred pieces
+    target = t.where("rank = 1 and level = 9").select("model_slug", "r", F.col("id").alias("target"), F.col("piece").alias("want"))
+    tops = t.groupBy("model_slug", "r", "level").agg(F.collect_list("id").alias("ids"), F.collect_list("piece").alias("tokens"))
+    return tops.join(target, ["model_slug", "r"]).select(
+        "model_slug", _LONG("r"), _LONG("level"), F.array_contains("ids", F.col("target")).alias("by_id"),
+        target_in_top(F.col("ids"), F.col("tokens"), F.col("target"), F.col("want")).alias("is_match"))
+
+
 @query(f"WITH {_TOPS} SELECT model_slug, CAST(r AS BIGINT) AS r, CAST(level AS BIGINT) AS level, token_id AS top_token FROM top WHERE rank = 1")
 def lens_layer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeliest token per row and level."""

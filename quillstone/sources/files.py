@@ -78,21 +78,40 @@ def write_checkpoint(spark: SparkSession, sae, path: str) -> None:
     spark.createDataFrame([(sae.d.shape[1], sae.d.shape[0], sae.k)], "hidden int, dict_size int, k int").write.mode("overwrite").parquet(f"{path}/config")
 
 
+# The columns that may hold the text, in order of preference.
 TEXT_COLUMNS = ("continuation", "response", "generated_text", "global_continuation", "baseline_continuation")
 
 
+def first_present(spark: SparkSession, candidates: list[str]) -> str | None:
+    """The first of several paths that exists, on whatever file system it names."""
+    jvm = spark.sparkContext._jvm
+    for c in candidates:
+        path = jvm.org.apache.hadoop.fs.Path(c)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return c
+    return None
+
+
+def read_continuations(spark: SparkSession, candidates: list[str]) -> DataFrame | None:
+    """continuations() of the first CSV file that is there, all columns as text; None without one."""
+    path = first_present(spark, candidates)
+    return None if path is None else continuations(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+
+
 def continuations(df: DataFrame) -> DataFrame:
     """(side, subtask, source_row_id, continuation) of a table with one of TEXT_COLUMNS; the side comes
-    from the column `side` or else the prefix of packet_row_id; of equal keys the last by packet_row_id wins."""
+    from the column `side` or else the prefix of packet_row_id; of equal keys the last by packet_row_id wins,
+    without that column the last row."""
     text = next((c for c in TEXT_COLUMNS if c in df.columns), None)
     if text is None:
         raise ValueError(f"none of {', '.join(TEXT_COLUMNS)} among the columns")
     prefix = F.upper(F.left("packet_row_id", F.lit(2))) if "packet_row_id" in df.columns else F.lit(None).cast("string")
     side = F.coalesce(F.upper("side"), prefix) if "side" in df.columns else prefix
-    order = F.col("packet_row_id") if "packet_row_id" in df.columns else F.col(text)
+    # without an id, the order of the rows as they are read
+    order = F.col("packet_row_id") if "packet_row_id" in df.columns else F.monotonically_increasing_id()
     keys = ["side", "subtask", "source_row_id"]
-    rows = df.withColumn("side", side).where(F.col("side").isin("JA", "KO"))
-    return rows.groupBy(*keys).agg(F.max(F.struct(order.alias("o"), F.col(text).alias("t"))).alias("m")).select(*keys, F.col("m.t").alias("continuation"))
+    rows = df.withColumn("side", side).withColumn("_order", order).where(F.col("side").isin("JA", "KO"))
+    return rows.groupBy(*keys).agg(F.max(F.struct(F.col("_order").alias("o"), F.col(text).alias("t"))).alias("m")).select(*keys, F.col("m.t").alias("continuation"))
 
 
 def summary_json(sections: dict[str, DataFrame], files: list[str] = (), most: int = 10_000) -> str:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.functions import scripts, text, vectors
+from quillstone.functions import scripts, text, tokenizer, vectors
 from quillstone.operators import geometry, interventions, projection, ranking
 from quillstone.operators import corpus as corpus_ops
 from quillstone.operators import features as feature_ops
@@ -271,3 +271,45 @@ def test_bootstrap_is_close_to_exact_and_takes_nulls(spark):
     mean, lo, hi = geometry.bootstrap_mean_ci(values, seed=1)
     assert got["g"].mean == pytest.approx(mean) and abs(got["g"].lo - lo) < 0.03 and abs(got["g"].hi - hi) < 0.03 and got["g"].n == 202
     assert got["none"].mean is None and got["none"].lo is None and got[None].lo == got[None].hi == 1.0
+
+
+def test_last_continuation_of_the_first_file(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('side,subtask,source_row_id,response\nJA,q,7,zz\nJA,q,7,"a, ""b"""\nKO,q,08,k\n')
+    got = files.read_continuations(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+    assert {(r.side, r.subtask, r.source_row_id, r.continuation) for r in got} == {("JA", "q", "7", 'a, "b"'), ("KO", "q", "08", "k")}
+    assert files.read_continuations(spark, [str(tmp_path / "a.csv")]) is None
+
+
+PIECES = {0: "a", 1: "ab", 2: " a", 3: "<0xC3>", 4: "<0xA9>", 5: "ab", 6: "", 7: "abc d", 8: "가", 9: "b", 10: " ", 11: "c", 12: "d", 13: "<0x0A>"}
+
+
+@pytest.mark.parametrize("t, want", [("abc", [1, 11]), ("abc d", [7]), ("é a", [3, 4, 2]), ("", []), ("가\n", [8, 13]), ("Z", [-1])])
+def test_longest_piece_first(t, want):
+    k = tokenizer.PieceTokenizer(PIECES)
+    assert k.encode(t) == want and (-1 in want or k.decode(want) == t)
+
+
+def test_tokens_join_to_the_text(spark, sf_dir):
+    vocabulary = spark.read.parquet(f"{sf_dir}/token_vocab.parquet")
+    k = tokenizer.piece_tokenizer(vocabulary)
+    rows = spark.read.parquet(f"{sf_dir}/corpus_rows.parquet").where("text is not null").groupBy("row_id").agg(F.max(F.struct("loaded_at", "text")).alias("m")).select("row_id", "m.text").collect()
+    got = {}
+    for r in catalogue_of_queries.queries()["token_pieces"](spark, sf_dir).orderBy("row_id", "token_idx").collect():
+        got.setdefault(r.row_id, []).append(r.token_id)
+    assert len(got) > 50 and all(k.decode(got.get(r.row_id, [])) == r.text for r in rows)
+    with pytest.raises(ValueError):
+        tokenizer.piece_tokenizer(vocabulary, 10)
+    df = spark.createDataFrame([(None,), ("",)], "t string").select(tokenizer.token_ids(F.col("t"), vocabulary).alias("x"))
+    assert [r.x for r in df.collect()] == [None, []]
+
+
+def test_target_by_text(spark):
+    rows = [([1, 2], [" Cat", None], 9, "CATS"), ([1, 2], ["", " "], 9, "x"), ([9], ["q"], 9, None), ([1], None, 9, "x"), ([1], ["scatter"], 9, "Cat"), (None, ["b"], 9, "a")]
+    df = spark.createDataFrame(rows, "ids array<bigint>, tokens array<string>, id bigint, t string")
+    assert [r.m for r in df.select(projection.target_in_top(F.col("ids"), F.col("tokens"), F.col("id"), F.col("t")).alias("m")).collect()] == [True, False, True, False, True, False]
+
+
+def test_final_norm(spark):
+    v = [3.0, -4.0]
+    r = spark.createDataFrame([(v, [2.0, 1.0]), (None, None), ([0.0, 0.0], [1.0, 1.0])], "v array<float>, g array<float>").select(vectors.rms_norm(F.col("v"), F.col("g")).alias("n")).collect()
+    assert r[0].n == pytest.approx([6 / np.sqrt(12.5), -4 / np.sqrt(12.5)]) and r[1].n is None and r[2].n == [0.0, 0.0]
