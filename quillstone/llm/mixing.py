@@ -25,21 +25,23 @@ def _targets(targets: DataFrame) -> DataFrame:
 
 
 def _weights(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, share, max_repeats, stock): targets that have records, shares scaled to 1."""
-    stock = sizes.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("stock"))
+    """(source, share, max_repeats, stock, records): targets that have records, shares scaled to 1."""
+    stock = sizes.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("stock"), F.count(F.lit(1)).alias("records"))
     both = _targets(targets).join(stock, "source")
     return both.withColumn("share", F.col("target_share") / F.sum("target_share").over(Window.partitionBy(F.lit(1)))).select(
-        "source", "share", "max_repeats", "stock")
+        "source", "share", "max_repeats", "stock", "records")
 
 
-def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, parts: int = 256, seed: int = 1) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, parts: int | None = None, slice_records: int = 200_000, seed: int = 1) -> DataFrame:
     """(source, id, repeat_no, n_tokens, finish) for sizes (id, source, n_tokens), in order of finish.
 
     Without total_tokens the budget is the largest at which no source runs out.  Prefix sums
-    run over `parts` slices of the shuffle, so a source with most of the records is no one task.
+    run over slices of the shuffle of about slice_records of the largest source, however many
+    that makes (or over `parts`), so a source with most of the records is no one task.
     """
     weights = _weights(sizes, targets)
-    whole = weights.agg(F.min(F.col("stock") * F.col("max_repeats") / F.col("share"))).first()[0]
+    whole, most = weights.agg(F.min(F.col("stock") * F.col("max_repeats") / F.col("share")), F.max("records")).first()
+    parts = parts or max(16, -(-(most or 0) // slice_records))
     budget = float(total_tokens if total_tokens is not None else whole or 0)
     # repeats that the budget reaches; the list of sources is as short as the targets
     wanted = weights.withColumn("rounds", F.least("max_repeats", F.ceil(F.lit(budget) * F.col("share") / F.col("stock"))))

@@ -88,7 +88,7 @@ def _shards_of(x: np.ndarray, c: np.ndarray, margin: float | None) -> tuple[np.n
 def nearest_neighbours(
     df: DataFrame, id_col: str, vec_col: str, group_cols: list[str], *, tag_col: str | None = None, k: int = 5,
     min_cosine: float | None = None, dim: int = 48, degree: int = 32, beam: int = 48, search_beam: int = 96,
-    shard_rows: int = 16_000, margin: float | None = None, sample_per_shard: int = 128, max_shards: int = 8192,
+    shard_rows: int = 16_000, margin: float | None = None, sample_per_shard: int = 64, max_shards: int = 8192,
 ) -> DataFrame:
     """(grp, id, neighbour, neighbour_tag, cosine, rank): at most k neighbours of each usable vector.
 

@@ -106,15 +106,16 @@ def _pieces(sizes: DataFrame, capacity: int) -> DataFrame:
         "id", "piece_no", F.when(F.col("piece_no") < F.col("w"), F.lit(capacity)).otherwise(F.col("n_tokens") - F.col("w") * capacity).cast("bigint").alias("n_tokens"))
 
 
-def _ranked(pieces: DataFrame, parts: int = 64) -> DataFrame:
-    """rank of each piece among those of its length; a length that most items have is ranked in `parts` parts."""
+def _ranked(pieces: DataFrame, most: int, carry: list[str] = (), part_rows: int = 200_000) -> DataFrame:
+    """rank of each piece among those of its length; the most frequent one has `most` pieces and is ranked in parts of about part_rows."""
+    parts = max(16, -(-most // part_rows))
     salted = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece_no"), F.lit(parts)).cast("int"))
     before = Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("c")).select(
-        "n_tokens", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("skip"))  # at most capacity * parts rows
+        "n_tokens", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("skip"))  # a row per length and part
     inside = Window.partitionBy("n_tokens", "part").orderBy(F.xxhash64("id", "piece_no"), "id", "piece_no")
     return salted.withColumn("n", F.row_number().over(inside) - 1).join(offsets, ["n_tokens", "part"]).select(
-        "id", "piece_no", "n_tokens", (F.col("skip") + F.col("n")).alias("rank"))
+        "id", "piece_no", "n_tokens", *carry, (F.col("skip") + F.col("n")).alias("rank"))
 
 
 def _histogram(pieces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +127,8 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     """(id, piece_no, n_tokens, container_id) for sizes (id, n_tokens)."""
     spark = sizes.sparkSession
     pieces = _pieces(sizes, capacity)
-    plan = pack_plan(*_histogram(pieces), capacity)
+    lengths, counts = _histogram(pieces)
+    plan = pack_plan(lengths, counts, capacity)
     held = spark.sparkContext.broadcast({
         int(k): g[["rank_from", "per", "first"]].to_numpy(np.int64) for k, g in plan.groupby("length")})
 
@@ -139,17 +141,19 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
         return pd.Series(out)
 
     where = F.pandas_udf(place, "bigint")
-    return _ranked(pieces).select("id", "piece_no", "n_tokens", where("n_tokens", "rank").alias("container_id"))
+    return _ranked(pieces, int(counts.max(initial=0))).select("id", "piece_no", "n_tokens", where("n_tokens", "rank").alias("container_id"))
 
 
 def bucket_batches(sizes: DataFrame, capacity: int, buckets: int = 16) -> DataFrame:
     """(id, piece_no, n_tokens, bucket, batch_no): batches of one bucket, each item padded to its boundary."""
     pieces = _pieces(sizes, capacity)
-    bounds = length_buckets(*_histogram(pieces), capacity, buckets)
+    lengths, counts = _histogram(pieces)
+    bounds = length_buckets(lengths, counts, capacity, buckets)
     if not bounds:
         return pieces.select("id", "piece_no", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("bigint").alias("batch_no")).limit(0)
     upper = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(b)) for b in bounds])
-    ranked = _ranked(pieces.select("id", "piece_no", F.col("n_tokens").alias("size"), upper.alias("n_tokens")).drop("size"))
-    return ranked.join(pieces.select("id", "piece_no", F.col("n_tokens").alias("size")), ["id", "piece_no"]).select(
+    most = int(np.bincount(np.searchsorted(bounds, lengths), weights=counts).max())
+    ranked = _ranked(pieces.select("id", "piece_no", F.col("n_tokens").alias("size"), upper.alias("n_tokens")), most, ["size"])
+    return ranked.select(
         "id", "piece_no", F.col("size").alias("n_tokens"), F.col("n_tokens").alias("bucket"),
         F.floor(F.col("rank") / F.floor(F.lit(capacity) / F.col("n_tokens"))).alias("batch_no"))

@@ -6,7 +6,7 @@ import sys
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lookalikes
@@ -63,6 +63,14 @@ def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_totals(p1_tokens(spark, sf_dir))
 
 
+def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_accuracy held against bounds: per record set how many records there are, and whether their total is met within 5 %."""
+    p = written(p1_tokens(spark, sf_dir))
+    true = _table(spark, sf_dir, "token_counts").select("record_set", "record_id", F.col("n_tokens").alias("true_tokens")).distinct()
+    judged = p.join(true, ["record_set", "record_id"]).groupBy("record_set").agg((F.abs(F.sum("n_tokens") / F.sum("true_tokens") - 1) <= 0.05).alias("total_within_5_percent"))
+    return p.groupBy("record_set").agg(F.count(F.lit(1)).alias("n_records")).join(judged, "record_set")
+
+
 def p1_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimates against the true counts of token_counts, which the fit does not use."""
     true = _table(spark, sf_dir, "token_counts").select("record_set", "record_id", F.col("n_tokens").alias("true_tokens")).distinct()
@@ -74,8 +82,8 @@ def p1_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", canonical_source(F.col("source")).alias("source"))
-    return written(token_sizes(docs, "doc_id", "text", ["source"]))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", canonical_source(F.col("source")).alias("source"), "loaded_at")
+    return written(token_sizes(docs, "doc_id", "text", ["source"], delivered="loaded_at"))
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> list:
@@ -91,6 +99,20 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("id").alias("doc_id"), "piece_no", "n_tokens") for r in _capacities(spark, sf_dir)])
 
 
+def p6_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6_containers held against the documents: every piece in one place, no container too full, no text split without need."""
+    placed = written(p6_containers(spark, sf_dir))
+    sizes = placed.groupBy("container", "capacity_tokens", "doc_id").agg(
+        F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece_no").alias("places"), F.max("piece_no").alias("last"), F.sum("n_tokens").alias("t"))
+    docs = sizes.groupBy("container", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("pieces") != F.col("places")) | (F.col("last") != F.col("pieces") - 1)).alias("n_misplaced"),
+        F.count_if((F.col("pieces") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("n_split_without_need"))
+    full = placed.groupBy("container", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("t")).groupBy("container", "capacity_tokens").agg(
+        F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_overfull"))
+    return docs.join(full, ["container", "capacity_tokens"]).select(
+        "container", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens"), "n_documents", "n_misplaced", "n_split_without_need", "n_overfull")
+
+
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers of each size are, packed by best fit and by length buckets."""
     sizes = _document_sizes(spark, sf_dir)
@@ -112,6 +134,14 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source", F.col("id").alias("doc_id"), "repeat_no", "n_tokens", "finish")
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p7_shares held against the targets: one row each, with whether repeats keep to their limit and the reached share is the wanted one."""
+    shares = mix_report(_document_sizes(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+    return shares.select(
+        "source", F.round("target_share", 6).alias("target_share"), F.col("max_repeats").cast("bigint").alias("max_repeats"), (F.col("n_tokens") > 0).alias("is_used"),
+        (F.col("most_repeats") <= F.col("max_repeats")).alias("keeps_repeats"), (F.abs(F.col("actual_share") - F.col("scaled_share")) <= 0.02).alias("reaches_share"))
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share that each source reached."""
     return mix_report(_document_sizes(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
@@ -128,6 +158,19 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("row_id"), "text_hash", "piece_no", "n_pieces", "start_char", "end_char", "piece")
 
 
+def p2_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_pieces put together again: per text its length and hash, the longest piece and the overlaps outside 150 to 250."""
+    pieces = p2_pieces(spark, sf_dir)
+    order = Window.partitionBy("row_id", "text_hash").orderBy("piece_no")
+    p = pieces.withColumn("before", F.lag("end_char").over(order))
+    new = F.when(F.col("before").isNull(), F.col("piece")).otherwise(F.expr("substring(piece, before - start_char + 1)"))
+    lap = F.col("before") - F.col("start_char")
+    return p.groupBy("row_id", "text_hash").agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("new")))), lambda x: x["new"]), "")).alias("text_md5"),
+        F.max("end_char").cast("bigint").alias("n_chars"), F.count_if(F.length("piece") > 2000).alias("n_too_long"),
+        F.count_if(~lap.between(150, 250)).alias("n_wrong_overlaps")).drop("text_hash")
+
+
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     packet = _table(spark, sf_dir, "eval_packet").select(F.col("packet_row_id").alias("id"), F.col("prompt").alias("text"))
     return packet.unionByName(_table(spark, sf_dir, "corpus_rows").select(F.col("row_id").alias("id"), "text"))
@@ -179,7 +222,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {q.__name__: q for q in (
-        p1_tokens, p1_totals, p1_accuracy, p6_containers, p6_fill, p7_mix, p7_shares, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_classes, p4_canonical, p5_found, p5_share, p8_found, p8_redacted)}
+        p1_tokens, p1_totals, p1_accuracy, p1_audit, p6_containers, p6_fill, p6_audit, p7_mix, p7_shares, p7_audit, p2_found, p2_pieces, p2_rejoined, p3_found, p3_neighbours, p4_found, p4_classes, p4_canonical, p5_found, p5_share, p8_found, p8_redacted)}
 
 
 def _reading_sql() -> str:
@@ -204,6 +247,22 @@ def oracle_sql() -> dict:
         "p4_classes": f"""WITH {reading}, g AS (SELECT s, min(id) AS class_id, count(DISTINCT id) AS n_ids, count(DISTINCT text) AS n_texts FROM rd WHERE text IS NOT NULL AND id IS NOT NULL GROUP BY s)
             SELECT DISTINCT id, class_id, n_ids, n_texts FROM rd JOIN g USING (s) WHERE n_ids > 1 AND n_texts > 1""",
         "p4_canonical": f"""WITH {reading} SELECT id, s AS canonical_text FROM rd""",
+        "p1_audit": """SELECT 'corpus_rows' AS record_set, count(DISTINCT row_id) AS n_records, true AS total_within_5_percent FROM corpus_rows
+            UNION ALL SELECT 'documents', count(DISTINCT doc_id), true FROM documents""",
+        "p2_rejoined": """SELECT row_id, md5(text) AS text_md5, length(text) AS n_chars, 0 AS n_too_long, 0 AS n_wrong_overlaps
+            FROM (SELECT DISTINCT row_id, text FROM corpus_rows WHERE length(text) > 2000)""",
+        "p3_found": """
+            WITH v AS (SELECT vec_id, any_value(model_slug) AS m, any_value(layer) AS l, any_value(h)::DOUBLE[] AS h FROM activations
+                       WHERE len(h) = 48 AND len(list_filter(h, lambda x: x IS NOT NULL AND isfinite(x))) = 48 AND len(list_filter(h, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+            p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.h, b.h) / sqrt(list_dot_product(a.h, a.h) * list_dot_product(b.h, b.h)) AS c
+                  FROM v a JOIN v b ON a.m = b.m AND a.l = b.l AND a.vec_id <> b.vec_id WHERE c >= 0.9),
+            t AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+            SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM t""",
+        "p6_audit": """SELECT container, CAST(capacity_tokens AS BIGINT) AS capacity_tokens, n AS n_documents, 0 AS n_misplaced, 0 AS n_split_without_need, 0 AS n_overfull
+            FROM (SELECT DISTINCT container, capacity_tokens FROM capacities), (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE text <> '')""",
+        "p7_audit": """WITH c AS (SELECT coalesce(nullif(regexp_replace(regexp_replace(lower(source), '[_ -]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'unknown') AS source FROM documents WHERE text <> '')
+            SELECT t.source, round(target_share, 6) AS target_share, CAST(max_repeats AS BIGINT) AS max_repeats, t.source IN (SELECT source FROM c) AS is_used, true AS keeps_repeats, true AS reaches_share
+            FROM mix_targets t WHERE target_share > 0""",
         "p2_found": "SELECT DISTINCT row_id FROM corpus_rows WHERE length(text) > 2000",
         # one row per record and spans of 100 characters, counted by SQL itself
         "p5_found": """

@@ -37,7 +37,7 @@ def strengths(codes: np.ndarray) -> np.ndarray:
     -1 where a cut would part a character from its mark or joiner.
     """
     n = len(codes)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int8)
     if not n:
         return out
     space, line = _one_of(codes, _SPACE), _one_of(codes, _LINE)
@@ -69,7 +69,7 @@ class RangeMax:
     def __init__(self, values: np.ndarray, widest: int):
         n = max(1, len(values))
         self.n = n
-        level = (values + 1) * n + np.arange(len(values))
+        level = (values.astype(np.int64) + 1) * n + np.arange(len(values))
         self.levels = [level]
         while 2 << (len(self.levels) - 1) <= min(widest, n):
             half = 1 << (len(self.levels) - 1)
@@ -92,12 +92,21 @@ def cut(text: str, limit: int, overlap: int, least: float = 0.5) -> list[tuple[i
     shortest = max(int(limit * least), overlap + slack + 1)
     if shortest >= limit:
         raise ValueError("overlap must leave room below the limit")
-    table = RangeMax(strengths(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)), limit)
+    strength = strengths(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+    block, low, table = 64 * limit, 0, None
+
+    def best(lo: int, hi: int) -> int:
+        nonlocal low, table  # the index covers a block around the place reached, not the whole text
+        if table is None or lo < low or hi > low + block:
+            low = lo
+            table = RangeMax(strength[low: low + block], limit)
+        return low + table.best(lo - low, hi - low)
+
     out, start = [], 0
     while n - start > limit:
-        end = table.best(start + shortest - 1, start + limit) + 1
+        end = best(start + shortest - 1, start + limit) + 1
         out.append((start, end))
-        start = table.best(end - overlap - slack - 1, end - overlap + slack) + 1 if overlap else end
+        start = best(end - overlap - slack - 1, end - overlap + slack) + 1 if overlap else end
     out.append((start, n))
     return out
 

@@ -4,7 +4,8 @@ The tokenizer is greedy: the longest piece that matches next, single bytes where
 does.  A bounded sample of records is tokenized; on two thirds of it a ridge regression
 per language is fitted (tokens from bytes, words, digits, punctuation and characters of
 each script), drawn towards the regression over all languages; the other third corrects
-the bias of each language.  The estimate then runs over every record in one pass.
+the bias of each language in each record set.  The sample is drawn by record set and
+language, so that a rare language has its share of labels.  The estimate then runs over every record in one pass.
 
 Edge cases: null, empty and blank text is estimated like any other (null and empty: 0);
 null, `und` or unknown languages are `und`; spellings of one language or source count as
@@ -122,10 +123,14 @@ def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float) -> np
     return prior + np.linalg.solve(a.T @ a + strength * np.eye(a.shape[1]), a.T @ b) / scale
 
 
+def stratum(where: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    return np.array([f"{a}\t{b}" for a, b in zip(where.tolist(), lang.tolist())], dtype=object)
+
+
 class TokenModel:
-    """Coefficients and bias factor by language; languages without labels use the pooled ones."""
+    """Coefficients and bias factors by record set and language; those without labels use what lies above them."""
 
-    def __init__(self, lang: np.ndarray, x: np.ndarray, y: np.ndarray, held: np.ndarray, least: int = 20):
+    def __init__(self, lang: np.ndarray, x: np.ndarray, y: np.ndarray, held: np.ndarray, where: np.ndarray, least: int = 20):
         zero = np.zeros(x.shape[1])
         fit = ~held
         self.pooled = _fit(x[fit], y[fit], zero, 0.1) if fit.any() else zero
@@ -134,29 +139,36 @@ class TokenModel:
             own = fit & (lang == name)
             if own.any():
                 self.coefs[name] = _fit(x[own], y[own], self.pooled, 3.0)
-        guess = self.raw(lang, x)
+        for name, key in sorted({*zip(lang.tolist(), stratum(where, lang).tolist())}):  # drawn towards the language's
+            own = fit & (stratum(where, lang) == key)
+            if own.sum() >= least:
+                self.coefs[key] = _fit(x[own], y[own], self.coefs[name], 3.0)
+        guess = self.raw(lang, x, where)
         ratio = lambda m: float(y[m].sum() / guess[m].sum()) if m.any() and guess[m].sum() > 0 else 1.0
         self.overall = ratio(held)
-        self.bias = {name: ratio(held & (lang == name)) for name in set(lang.tolist()) if (held & (lang == name)).sum() >= least}
-
-    def raw(self, lang: np.ndarray, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for name in set(lang.tolist()):
-            m = lang == name
-            out[m] = x[m] @ self.coefs.get(name, self.pooled)
+        self.bias = {}
+        for keys in (lang, stratum(where, lang)):
+            self.bias |= {name: ratio(held & (keys == name)) for name in set(keys.tolist()) if (held & (keys == name)).sum() >= least}
+
+    def raw(self, lang: np.ndarray, x: np.ndarray, where: np.ndarray) -> np.ndarray:
+        out, keys = np.zeros(len(x)), stratum(where, lang)
+        for name, key in {*zip(lang.tolist(), keys.tolist())}:
+            m = keys == key
+            out[m] = x[m] @ self.coefs.get(key, self.coefs.get(name, self.pooled))
         return np.maximum(out, x[:, 0])  # a text that isn't empty has a token
 
-    def predict(self, lang: np.ndarray, x: np.ndarray) -> np.ndarray:
-        factor = np.array([self.bias.get(name, self.overall) for name in lang.tolist()])
-        return self.raw(lang, x) * factor
+    def predict(self, lang: np.ndarray, x: np.ndarray, where: np.ndarray) -> np.ndarray:
+        factor = np.array([self.bias.get(key, self.bias.get(name, self.overall)) for key, name in zip(stratum(where, lang).tolist(), lang.tolist())])
+        return self.raw(lang, x, where) * factor
 
 
-def estimate_tokens(records: DataFrame, vocabulary: DataFrame, max_labels: int = 6000, max_pieces: int = 500_000) -> DataFrame:
+def estimate_tokens(records: DataFrame, vocabulary: DataFrame, max_labels: int = 6000, max_pieces: int = 500_000, max_strata: int = 512) -> DataFrame:
     """(record_set, record_id, source, language, domain, n_tokens) with n_tokens a double.
 
     records: record_set, record_id, text, source, language, domain and delivered (any order
     of deliveries).  vocabulary: piece.  max_labels bounds the sample that is tokenized and
-    collected, max_pieces the vocabulary; both are bounds of the model, not of the data.
+    collected, max_pieces the vocabulary, max_strata the pairs of record set and language that
+    labels are drawn from (the largest); all are bounds of the model, not of the data.
     """
     spark = records.sparkSession
     pieces = [r[0] for r in vocabulary.select("piece").where("piece is not null").distinct().limit(max_pieces + 1).collect()]
@@ -165,9 +177,13 @@ def estimate_tokens(records: DataFrame, vocabulary: DataFrame, max_labels: int =
     base = records.select(
         "record_set", F.col("record_id").cast("string").alias("record_id"), canonical_source(F.col("source")).alias("source"),
         canonical_language(F.col("language")).alias("language"), F.coalesce("domain", F.lit("unknown")).alias("domain"), "text", "delivered")
-    total = records.count()
-    per_million = min(1_000_000, int(max_labels * 1_000_000 * 0.9 / max(total, 1)) + 1)
-    drawn = base.where(F.pmod(F.xxhash64("record_set", "record_id", F.lit(17)), F.lit(1_000_000)) < per_million)
+    # labels by record set and language: half in proportion to the root of its size, and a least number for each
+    key = F.concat_ws("\t", "record_set", "language")
+    strata = base.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").limit(max_strata).collect()
+    roots = sum(r.n ** 0.5 for r in strata) or 1.0
+    rate = {r.k: min(1_000_000, int(1_000_000 * (0.6 * max_labels * r.n ** 0.5 / roots + 0.3 * max_labels / len(strata)) / r.n) + 1) for r in strata}
+    rates = F.create_map(*[F.lit(v) for kv in rate.items() for v in kv]) if rate else F.create_map(F.lit(""), F.lit(0))
+    drawn = base.where(F.pmod(F.xxhash64("record_set", "record_id", F.lit(17)), F.lit(1_000_000)) < F.coalesce(F.try_element_at(rates, key), F.lit(0)))
     held_pieces = spark.sparkContext.broadcast(pieces)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,16 +191,17 @@ def estimate_tokens(records: DataFrame, vocabulary: DataFrame, max_labels: int =
         for b in batches:
             texts = b.column("text").to_pylist()
             yield pa.RecordBatch.from_pydict({
-                "language": b.column("language"), "held": b.column("held"), "x": list(features(texts)),
+                "record_set": b.column("record_set"), "language": b.column("language"), "held": b.column("held"), "x": list(features(texts)),
                 "n": [tokenizer.count(t) if t else 0 for t in texts]}, schema=pa.schema(
-                    [("language", pa.string()), ("held", pa.bool_()), ("x", pa.list_(pa.float64())), ("n", pa.int64())]))
+                    [("record_set", pa.string()), ("language", pa.string()), ("held", pa.bool_()), ("x", pa.list_(pa.float64())), ("n", pa.int64())]))
 
     got = drawn.dropDuplicates(["record_set", "record_id"]).select(
-        "language", "text", (F.pmod(F.xxhash64("record_id", F.lit(5)), F.lit(3)) == 0).alias("held")
-    ).mapInArrow(label, "language string, held boolean, x array<double>, n bigint").limit(2 * max_labels).toArrow()
+        "record_set", "language", "text", (F.pmod(F.xxhash64("record_id", F.lit(5)), F.lit(3)) == 0).alias("held")
+    ).mapInArrow(label, "record_set string, language string, held boolean, x array<double>, n bigint").limit(2 * max_labels).toArrow()
     model = TokenModel(
         np.array(got["language"].to_pylist(), dtype=object), np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES)),
-        got["n"].to_numpy().astype(float), got["held"].to_numpy(zero_copy_only=False).astype(bool))
+        got["n"].to_numpy().astype(float), got["held"].to_numpy(zero_copy_only=False).astype(bool),
+        np.array(got["record_set"].to_pylist(), dtype=object))
     held_model = spark.sparkContext.broadcast((model.pooled, model.coefs, model.overall, model.bias))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +211,9 @@ def estimate_tokens(records: DataFrame, vocabulary: DataFrame, max_labels: int =
             out = []
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                out.append(own.predict(np.array(part.column("language").to_pylist(), dtype=object), features(part.column("text").to_pylist())))
+                out.append(own.predict(
+                    np.array(part.column("language").to_pylist(), dtype=object), features(part.column("text").to_pylist()),
+                    np.array(part.column("record_set").to_pylist(), dtype=object)))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in keep), pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*keep, "n_tokens"])
 

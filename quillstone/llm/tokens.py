@@ -33,10 +33,16 @@ def load_encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_sizes(df: DataFrame, id_col: str, text_col: str, carry: list[str] = (), path: str | None = None) -> DataFrame:
-    """(id, carry..., n_tokens): one row per id; the largest text of an id counts; null and empty texts have 0."""
+def token_sizes(df: DataFrame, id_col: str, text_col: str, carry: list[str] = (), path: str | None = None, delivered: str | None = None) -> DataFrame:
+    """(id, carry..., n_tokens): one row per id; null and empty texts have 0.
+
+    Of several deliveries the last one by the column `delivered` counts (of equal ones, or
+    without such a column, the largest).
+    """
     path = path or tokenizer_path()
-    rows = df.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text"))
+    given, carry = carry, [*carry, *(["_delivered"] if delivered else [])]
+    when = [F.col(delivered).alias("_delivered")] if delivered else []
+    rows = df.select(F.col(id_col).alias("id"), *given, *when, F.col(text_col).alias("text"))
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(path)
@@ -46,8 +52,8 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str, carry: list[str] = ()
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", *carry))
     best = rows.mapInArrow(size, f"{kinds}, n_tokens bigint").where(F.col("id").isNotNull()).groupBy("id").agg(
-        F.max(F.struct("n_tokens", *carry)).alias("r"))
-    return best.select("id", *[F.col(f"r.{c}").alias(c) for c in carry], F.col("r.n_tokens").alias("n_tokens"))
+        F.max(F.struct(*carry[len(given):], "n_tokens", *given)).alias("r"))
+    return best.select("id", *[F.col(f"r.{c}").alias(c) for c in given], F.col("r.n_tokens").alias("n_tokens"))
 
 
 def shared_folder(spark: SparkSession) -> str:
