@@ -38,8 +38,8 @@ def sentence_corpus(sentences: DataFrame, split: str) -> DataFrame:
         "language", "text", F.lit(False).alias("is_enterprise_prompt"), F.lit(None).cast("string").alias("task_family"))
 
 
-def bidirectional_pairs(sentences: DataFrame, pairs: list[tuple[str, str, str]], names: dict[str, str], first: int, template: Column) -> DataFrame:
-    """Two rows, side A and side B, per pair and sentence index below `first`.
+def bidirectional_pairs(sentences: DataFrame, pairs: list[tuple[str, str, str]], names: dict[str, str], template: Column, first: int | None = None) -> DataFrame:
+    """Two rows, side A and side B, per pair and sentence index (below `first`, if given).
 
     sentences: (language, idx, text).  template builds the prompt from target_lang and source_text.
     A sentence that one language of a pair lacks gives no rows.
@@ -47,7 +47,7 @@ def bidirectional_pairs(sentences: DataFrame, pairs: list[tuple[str, str, str]],
     spark = sentences.sparkSession
     wanted = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "pair_rank int, pair_label string, x string, y string")
     label = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
-    s = sentences.where(F.col("idx") < first)
+    s = sentences if first is None else sentences.where(F.col("idx") < first)
     x = s.select(F.col("language").alias("x"), "idx", F.col("text").alias("tx"))
     y = s.select(F.col("language").alias("y"), "idx", F.col("text").alias("ty"))
     both = x.join(F.broadcast(wanted), "x").join(y, ["y", "idx"])

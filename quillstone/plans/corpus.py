@@ -54,8 +54,8 @@ _SENT = f"""{CORPUS}, sent AS (SELECT split_part(row_id, '-', 1) AS language, CA
     FROM corpus_rows_1 WHERE source = 'flores-devtest' AND regexp_full_match(row_id, '[a-z]+_[A-Za-z]+-devtest-[0-9]+'))"""
 
 
-def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus(spark, sf_dir).where((F.col("source") == "flores-devtest") & F.col("row_id").rlike("^[a-z]+_[A-Za-z]+-devtest-[0-9]+$"))
+def _sentences(spark: SparkSession, sf_dir: str, split: str = "devtest") -> DataFrame:
+    rows = corpus(spark, sf_dir).where((F.col("source") == f"flores-{split}") & F.col("row_id").rlike(f"^[a-z]+_[A-Za-z]+-{split}-[0-9]+$"))
     return rows.select(F.split_part("row_id", F.lit("-"), F.lit(1)).alias("language"), F.split_part("row_id", F.lit("-"), F.lit(3)).cast("int").alias("idx"), "text")
 
 
@@ -64,21 +64,27 @@ _SIDE = "SELECT pair_label, side, CAST(idx AS VARCHAR) AS source_row_id, sl AS s
 
 @query(f"""WITH {_SENT}, pr(pair_label, x, y) AS (VALUES {', '.join(repr(p) for p in PAIRS)}),
     nm(code, name) AS (VALUES {', '.join(repr(kv) for kv in NAMES.items())}),
-    b AS (SELECT pair_label, a.idx, x, y, a.text AS tx, c.text AS ty FROM pr JOIN sent a ON a.language = x JOIN sent c ON c.language = y AND c.idx = a.idx WHERE a.idx < 14),
+    b AS (SELECT pair_label, a.idx, x, y, a.text AS tx, c.text AS ty FROM pr JOIN sent a ON a.language = x JOIN sent c ON c.language = y AND c.idx = a.idx),
     u AS (SELECT pair_label, 'A' AS side, idx, x AS sl, y AS tl, tx AS st FROM b UNION ALL SELECT pair_label, 'B', idx, y, x, ty FROM b)
     SELECT lower(pair_label) || '-' || side || '-flores-' || idx AS packet_row_id, pair_label, side, CAST(idx AS VARCHAR) AS source_row_id, sl AS source_lang_code, tl AS target_lang_code,
     m.name AS source_lang, n.name AS target_lang, 'Render in ' || n.name || ': ' || st || chr(10) || 'Result:' AS prompt FROM u JOIN nm m ON m.code = sl JOIN nm n ON n.code = tl""")
 def corpus_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parallel sentences as prompts in both directions."""
     prompt = F.concat(F.lit("Render in "), F.col("target_lang"), F.lit(": "), F.col("source_text"), F.lit("\nResult:"))
-    return C.bidirectional_pairs(_sentences(spark, sf_dir), PAIRS, NAMES, 14, prompt).select(
+    return C.bidirectional_pairs(_sentences(spark, sf_dir), PAIRS, NAMES, prompt).select(
         "packet_row_id", "pair_label", "side", "source_row_id", "source_lang_code", "target_lang_code", "source_lang", "target_lang", "prompt")
 
 
 @query(f"""WITH {PACKET}, {_SENT} SELECT 'v2-packet' AS source, packet_row_id AS row_id, coalesce(language, 'unknown') AS language, prompt AS text, true AS is_enterprise_prompt, {_FAMILY_SQL} AS task_family FROM eval_packet_1
-    UNION ALL SELECT 'flores-devtest', language || '-devtest-' || idx, language, text, false, NULL FROM sent""")
+    UNION ALL SELECT 'flores-devtest', language || '-devtest-' || idx, language, text, false, NULL FROM sent
+    UNION ALL SELECT 'flores-dev', split_part(row_id, '-', 1) || '-dev-' || CAST(split_part(row_id, '-', 3) AS INTEGER), split_part(row_id, '-', 1), text, false, NULL
+    FROM corpus_rows_1 WHERE source = 'flores-dev' AND regexp_full_match(row_id, '[a-z]+_[A-Za-z]+-dev-[0-9]+')""")
 def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.packet_corpus(packet(spark, sf_dir)).unionByName(C.sentence_corpus(_sentences(spark, sf_dir), "devtest"))
+    """The packet and both splits of the parallel sentences."""
+    out = C.packet_corpus(packet(spark, sf_dir))
+    for split in ("devtest", "dev"):
+        out = out.unionByName(C.sentence_corpus(_sentences(spark, sf_dir, split), split))
+    return out
 
 
 _TRI = "tri AS (SELECT DISTINCT packet_row_id, pair_label, side, source_row_id, source_lang, target_lang, source_text, prompt FROM triangulation_rows)"

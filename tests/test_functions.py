@@ -313,3 +313,9 @@ def test_final_norm(spark):
     v = [3.0, -4.0]
     r = spark.createDataFrame([(v, [2.0, 1.0]), (None, None), ([0.0, 0.0], [1.0, 1.0])], "v array<float>, g array<float>").select(vectors.rms_norm(F.col("v"), F.col("g")).alias("n")).collect()
     assert r[0].n == pytest.approx([6 / np.sqrt(12.5), -4 / np.sqrt(12.5)]) and r[1].n is None and r[2].n == [0.0, 0.0]
+
+
+def test_pairs_of_the_first_sentences(spark):
+    s = spark.createDataFrame([(l, i, f"{l}{i}") for l in ("a", "b") for i in range(30) if (l, i) != ("b", 3)], "language string, idx int, text string")
+    pairs = lambda first: corpus_ops.bidirectional_pairs(s, [("A-B", "a", "b")], {"a": "A", "b": "B"}, F.col("source_text"), first).collect()
+    assert len(pairs(14)) == 26 and len(pairs(None)) == 58 and {int(r.source_row_id) for r in pairs(14)} == set(range(14)) - {3}
