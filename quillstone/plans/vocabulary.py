@@ -30,12 +30,12 @@ def vocab_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH u AS (SELECT vec_id AS token_id, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < 100), e AS (SELECT vec_id, embedding::DOUBLE[] AS h FROM embeddings WHERE vec_id >= 100),
     l AS (SELECT vec_id, token_id, round(list_dot_product(h, w) * 0.5 / sqrt(list_dot_product(h, h) / len(h) + 1e-6), 9) AS logit FROM e, u)
-    SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS rank, token_id, round(logit, 6) + 0.0 AS logit FROM l QUALIFY rank <= 10""")
+    SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS rank, token_id, logit + 0.0 AS logit FROM l QUALIFY rank <= 10""")
 def vocab_projection_normed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 likeliest tokens after the final norm, with logits scaled by 0.5."""
     e = table(spark, sf_dir, "embeddings").where("vec_id >= 100")
     t = project_top_k(e.select(F.col("vec_id").alias("key"), scaled(rms_norm(F.col("embedding")), 0.5).alias("v")), unembed(spark, sf_dir), 10, digits=9)
-    return t.select(F.col("key").alias("vec_id"), _LONG("rank"), F.col("id").alias("token_id"), rounded(F.col("value")).alias("logit"))
+    return t.select(F.col("key").alias("vec_id"), _LONG("rank"), F.col("id").alias("token_id"), F.col("value").alias("logit"))
 
 
 @query(f"WITH {LOGITS} SELECT vec_id, token_id, round(prob, 6) + 0.0 AS prob FROM probs")
